@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from .minhash_dedup import op1_minhash
-from .line_dedup import ORACLE as OP8
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op8_line_dedup
+from .minhash_dedup import op1_minhash
+from .quality_rules import op4_quality_rules
+from .secret_scan import op7_secret_scan
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_line_dedup": op8_line_dedup}
-ORACLE_SQL = {"op8_line_dedup": OP8}
+QUERIES = {"op1_minhash": op1_minhash, "op4_quality_rules": op4_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup}
+ORACLE_SQL = {"op8_line_dedup": LINE_DEDUP_SQL}
