@@ -91,7 +91,11 @@ def secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", id_col:
     """row, doc_id, base and extra of each row of ``docs``: arrays of (s, k, e, kind) in order, start and end as code points."""
     text = F.col(f"`{text_col}`")
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(*(c.alias(k) for k, c in found_parts(text).items())).alias("p"))
-    tagged = [F.transform(F.col(f"p.{k}"), lambda x, k=k, n=n: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), F.lit(k).alias("kind"))) for n, k in enumerate(KINDS)]
+
+    def of_kind(n: int, kind: str) -> Column:
+        return F.transform(F.col(f"p.{kind}"), lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
+
+    tagged = [of_kind(n, kind) for n, kind in enumerate(KINDS)]
     base, weak = F.concat(*tagged[:3]), F.concat(*tagged[3:])
     table, _ = stored(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sort_array(base).alias("base"), weak.alias("weak")), "secrets")
     # a weak span over a base span is no new one
