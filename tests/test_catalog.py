@@ -39,8 +39,8 @@ def rows(table, columns):
 def test_query(spark, duck, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     got = [r.asDict() for r in df.collect()]
-    assert got
+    assert df.columns
     if name in catalog.ORACLE_SQL:
         want = duck.execute(catalog.ORACLE_SQL[name]).to_arrow_table().to_pylist()
-        assert sorted(df.columns) == sorted(want[0])
+        assert not want or sorted(df.columns) == sorted(want[0])
         assert rows(got, sorted(df.columns)) == rows(want, sorted(df.columns))
