@@ -7,9 +7,9 @@ no bin is empty. Coordinates agree with probability J, with concentration as for
 
 ``t`` = bands * rows coordinates are cut into bands; documents that agree on a band share a bucket. A bucket is
 never expanded into pairs: its first member is the leader and each other member is verified against it on
-the full shingle sets. Verified links make components; buckets that still hold several components then have
-the members of different components compared, in a second bucketing if they are many. A pair at similarity 0.8
-misses all bands with probability (1 - 0.8^rows)^bands, 5e-7 as set, and all but one with 8e-6.
+the full shingle sets. Verified links make components. In buckets that still hold several components, the members
+outside the leader's component are compared with those of other components, each pair once. A pair at similarity 0.8
+misses all bands with probability (1 - 0.8^rows)^bands, 5e-7 as set.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; one word makes a set of
 one; documents with the same set are one class (links of a class are links of its first document); a doc_id that
@@ -30,10 +30,10 @@ from ._components import components
 from ._shared import discard, documents, stored
 
 BANDS, ROWS = 48, 6
-#: More members of different components than this in one bucket are bucketed once more by each pair of bands.
-WIDE = 8
+#: Ids that may be broadcast to pick the texts to compare: 16 MB. Beyond, that join shuffles.
+IDS = 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -198,6 +198,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(verifier(width, percent), "a long, b long").distinct()
 
 
+def with_components(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of more than two, with their component and whether it is another one than the leader's."""
+    comp = found.select(F.col("node").alias("rep"), "component")
+    named = inside.where("size > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    named = named.join(comp.withColumnRenamed("rep", "lead"), "lead", "left").withColumn("out", F.col("comp") != F.coalesce("component", "lead"))
+    return named.select("band", "rep", "n", "comp", "out")
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set class (h1, h2) of each row of ``docs``."""
     spark = docs.sparkSession
@@ -214,7 +222,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = inside.where((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     star, at_star = stored(star, "star")
-    involved = lambda pairs: source.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
+
+    def involved(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return source.join(F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids, "doc_id", "left_semi")
+
     links, at_links = stored(verified(star, involved(star), width, percent), "links")
     same = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select("doc_id")
     # a doc_id with several sets ties their classes together
@@ -222,24 +234,26 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     links = links.unionByName(ties)
     first = components(links)
 
-    # buckets that hold members of several components: their pairs not yet tried
-    named = inside.where("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    spread = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("band", "many")
-    mixed, at_mixed = stored(named.select("band", "rep", "n", "comp").join(spread, "band"), "mixed")
-    wide = mixed.where(F.col("many") > WIDE).select("band", "rep", "n", "comp")
-    # crowded buckets: two documents meet again where they agree on a second band
-    again = wide.join(classes.select("rep", F.explode("bands").alias("other")), "rep").where("other <> band").select(F.xxhash64("band", "other").alias("band"), "rep", "n", "comp")
-    narrow = mixed.where(F.col("many") <= WIDE).select("band", "rep", "n", "comp").unionByName(again)
-    left, right = narrow.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), narrow.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more, at_more = stored(more.join(star, ["a", "b"], "left_anti"), "more")
+    # A bucket whose members all are in the leader's component is done. Else its outsiders meet the members of other components;
+    # a pair that shares several buckets is made in the first of them only, so the join makes each pair once.
+    named = with_components(inside, first)
+    spread = named.where("out").select("band").distinct()
+    marks = classes.select("rep", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
+    mixed, at_mixed = stored(named.join(spread, "band", "left_semi").join(marks, "rep"), "mixed")
+    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "comp", "out", "marks")))
+    shared = F.array_position(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), F.lit(True))
+    meet = F.array_position(F.col("marks_a"), F.hash("band"))
+    left, right = side(mixed.where("out"), "a"), side(mixed, "b")
+    met = left.join(right, "band").where(F.col("comp_a") != F.col("comp_b")).where(~F.col("out_b") | (F.col("rep_a") < F.col("rep_b"))).where(fits(F.col("n_a"), F.col("n_b"))).where(shared == meet)
+    more = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    more, at_more = stored(more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     final = components(links.unionByName(verified(more, involved(more), width, percent)))
 
     found = classes.select("h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(found, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
-    discard(spark, at_inside, at_star, at_mixed, at_more)
+    discard(spark, at_inside, at_star, at_mixed, at_more, at_links)
     return out
 
 

@@ -35,7 +35,7 @@ def test_matches_brute_force(spark):
 
 def test_chains_and_crowded_buckets(spark, monkeypatch):
     """Copies that differ from each other step by step: links that the first member of a bucket does not have."""
-    monkeypatch.setattr("quartzite.llm.minhash_dedup.WIDE", 3)
+    monkeypatch.setattr("quartzite.llm.minhash_dedup.IDS", 10)
     rng = np.random.default_rng(3)
     base, rows = [f"w{i}" for i in range(60)], []
     for i in range(120):
