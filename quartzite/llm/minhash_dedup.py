@@ -8,7 +8,8 @@ no bin is empty. Coordinates agree with probability J, with concentration as for
 ``t`` = bands * rows coordinates are cut into bands; documents that agree on a band share a bucket. A bucket is
 never expanded into pairs: its first member is the leader and each other member is verified against it on
 the full shingle sets. Verified links make components. In buckets that still hold several components, the members
-outside the leader's component are compared with those of other components, each pair once. A pair at similarity 0.8
+outside the leader's component are compared with those of other components, each pair once, or in blocks without making
+pairs where that component is large. A pair at similarity 0.8
 misses all bands with probability (1 - 0.8^rows)^bands, 5e-7 as set.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; one word makes a set of
@@ -30,6 +31,8 @@ from ._components import components
 from ._shared import discard, documents, stored
 
 BANDS, ROWS = 48, 6
+#: Components of more members have their surroundings solved in blocks; and the rows of a block on either side.
+HOT, BLOCK = 64, 256
 #: Ids that may be broadcast to pick the texts to compare: 16 MB. Beyond, that join shuffles.
 IDS = 1_000_000
 #: Bytes of text that are hashed at once.
@@ -203,7 +206,65 @@ def with_components(inside: DataFrame, found: DataFrame) -> DataFrame:
     comp = found.select(F.col("node").alias("rep"), "component")
     named = inside.where("size > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     named = named.join(comp.withColumnRenamed("rep", "lead"), "lead", "left").withColumn("out", F.col("comp") != F.coalesce("component", "lead"))
-    return named.select("band", "rep", "n", "comp", "out")
+    return named.select("band", "rep", "n", "comp", "out", F.coalesce("component", "lead").alias("home"))
+
+
+def set_reader(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [s.tobytes() for data, offsets in chunks(batch.column(1)) for s in shingles_of(*hasher.words(data, offsets), len(offsets) - 1, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "elements"])
+
+    return run
+
+
+def crowd_solver(percent: int):
+    """Links between the outsiders (``side``) and all others of one block pair: one for each outsider and other component at most, as
+    components need no more. Intersections are counted for all members at once, by marking an outsider's elements."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("elements")]
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b = [], []
+        if len(left) and len(right):
+            values, code = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            size = np.array([len(sets[i]) for i in right])
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            mark = np.zeros(len(values), dtype=np.int32)
+            for i in left:
+                at = np.searchsorted(values, sets[i])
+                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[i])]
+                mark[at] = 1
+                both = np.add.reduceat(mark[code], starts)
+                mark[at] = 0
+                hits = np.flatnonzero((100 * both >= percent * (len(sets[i]) + size - both)) & (comp[right] != comp[i]))
+                for j in hits[np.unique(comp[right][hits], return_index=True)[1]]:
+                    a.append(rep[i])
+                    b.append(rep[right[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def crowd_links(crowd: DataFrame, first: DataFrame, involved, width: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """Links of the outsiders around large components (home, rep, comp): each is compared with all members of its home and with the
+    home's other outsiders, in blocks of about BLOCK rows either side. No pairs are made, and a row is sent once for each block of the
+    other side."""
+    homes = crowd.select("home").distinct()
+    inside = first.select(F.col("component").alias("home"), F.col("node").alias("rep"), F.col("component").alias("comp")).join(homes, "home", "left_semi")
+    ids = crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")).unionByName(inside.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    sets, at_sets = stored(involved(ids).mapInArrow(set_reader(width), "rep long, elements binary"), "sets")
+    everyone = crowd.withColumn("out", F.lit(True)).unionByName(inside.withColumn("out", F.lit(False)))
+    parts = everyone.groupBy("home").agg(F.ceil(F.count_if("out") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"))
+    rows = everyone.join(parts, "home").join(sets, "rep")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(5), "rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("out").select("home", block("out_blocks").alias("x"), each("all_blocks").alias("y"), F.lit(True).alias("side"), "rep", "comp", "elements")
+    right = rows.select("home", each("out_blocks").alias("x"), block("all_blocks").alias("y"), F.lit(False).alias("side"), "rep", "comp", "elements")
+    found, at_found = stored(left.unionByName(right).groupBy("home", "x", "y").applyInArrow(crowd_solver(percent), "a long, b long"), "crowd-links")
+    return found, [at_sets, at_found]
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -237,6 +298,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     # A bucket whose members all are in the leader's component is done. Else its outsiders meet the members of other components;
     # a pair that shares several buckets is made in the first of them only, so the join makes each pair once.
     named = with_components(inside, first)
+    large = first.groupBy(F.col("component").alias("home")).agg(F.count("*").alias("members")).where(F.col("members") > HOT)
+    crowd, at_crowd = stored(named.where("out").join(large, "home").select("home", "rep", "comp").distinct(), "crowd")
+    around, scratch = crowd_links(crowd, first, involved, width, percent)
+    named = named.join(large.select("home"), "home", "left_anti")
     spread = named.where("out").select("band").distinct()
     marks = classes.select("rep", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
     mixed, at_mixed = stored(named.join(spread, "band", "left_semi").join(marks, "rep"), "mixed")
@@ -247,13 +312,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     met = left.join(right, "band").where(F.col("comp_a") != F.col("comp_b")).where(~F.col("out_b") | (F.col("rep_a") < F.col("rep_b"))).where(fits(F.col("n_a"), F.col("n_b"))).where(shared == meet)
     more = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     more, at_more = stored(more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    final = components(links.unionByName(verified(more, involved(more), width, percent)))
+    final = components(links.unionByName(around).unionByName(verified(more, involved(more), width, percent)))
 
     found = classes.select("h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(found, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
-    discard(spark, at_inside, at_star, at_mixed, at_more, at_links)
+    discard(spark, at_inside, at_star, at_mixed, at_more, at_links, at_crowd, *scratch)
     return out
 
 

@@ -47,6 +47,24 @@ def test_chains_and_crowded_buckets(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def test_outsiders_of_a_large_component(spark, monkeypatch):
+    """Many copies at distances around the threshold: linked to some of a component only, to each other only, or to nothing."""
+    monkeypatch.setattr("quartzite.llm.minhash_dedup.HOT", 5)
+    monkeypatch.setattr("quartzite.llm.minhash_dedup.BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for i in range(150):
+        words = list(base)
+        for j in rng.choice(80, int(rng.integers(1, 11)), replace=False):
+            words[j] = f"x{i}_{j}"
+        rows.append((int(rng.integers(1 << 40)), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept")
+    want = brute(rows)
+    assert len({w[2] for w in want}) > 5
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = {}
     for r in near_duplicates(odd_docs).collect():
