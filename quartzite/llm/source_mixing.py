@@ -35,8 +35,9 @@ def bucket(word: Column, buckets: int) -> Column:
 
 def classifier(labelled: DataFrame, domains: list[str], buckets: int, bound: int) -> tuple[list[float], list[list[float]]]:
     """Log prior by domain, and log P(bucket | domain) by domain and bucket; rows are (id, text, domain)."""
-    sample = labelled.where(F.col("domain").isin(domains)).orderBy(F.xxhash64("id"), "id").limit(bound)
-    sample, _ = stored(sample, "mix-sample")
+    # ids first: only a bounded list of them meets in one task, and is broadcast; no texts do
+    chosen = labelled.where(F.col("domain").isin(domains) & F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(bound)
+    sample, _ = stored(labelled.where(F.col("domain").isin(domains)).join(F.broadcast(chosen.distinct()), "id").select("domain", "text"), "mix-sample")
     by_domain = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = sample.select("domain", F.explode(F.array_distinct(words(F.lower("text")))).alias("word")).groupBy("domain", bucket(F.col("word"), buckets).alias("b")).agg(F.count("*").alias("n")).collect()  # domains x buckets
     count = {d: [0.5] * buckets for d in domains}
@@ -117,7 +118,7 @@ def mixture(docs: DataFrame, targets: dict[str, float] | None = None, domain_col
     domains = sorted(targets)
     whole = sum(targets.values())
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    labelled = docs.select(ident.alias("id"), text.alias("text"), F.col(f"`{domain_col}`").alias("domain")).where(ident.isNotNull() & text.isNotNull())
+    labelled = docs.select(ident.alias("id"), text.alias("text"), F.col(f"`{domain_col}`").alias("domain"))
     prior, table = classifier(labelled, domains, buckets, bound)
     shares = docs.select(ident.alias("id"), F.xxhash64(text).alias("th"), F.size(words(text)).cast("double").alias("tokens"), posteriors(text, domains, prior, table, buckets).alias("p"))
     shares, _ = stored(shares, "shares")
