@@ -184,7 +184,15 @@ _typed("infer_boolean", "flag", "SELECT k, lower(flag) IN ('true', 't', 'yes', '
 _typed("infer_numeric_plain", "whole", "SELECT k, CAST(whole AS BIGINT) AS whole FROM d")
 _typed("infer_numeric_currency", "money", "SELECT k, CAST(replace(money, '$', '') AS DOUBLE) AS money FROM d")
 _typed("leading_zero_guard", "code", "SELECT k, code FROM d")
-_typed("infer_numeric_coerced", "mostly", "SELECT k, TRY_CAST(mostly AS BIGINT) AS mostly FROM d")
+
+
+@query("infer_numeric_coerced", "SELECT k, CAST(TRY_CAST(mostly AS BIGINT) AS DOUBLE) AS mostly FROM d", "texts")
+def infer_numeric_coerced(spark, sf):
+    df = dirty(spark, sf, "texts").select("k", "mostly")
+    out = inference.apply(df, inference.suggest(df, CleanOptions()))
+    return out.select("k", F.col("mostly").cast("double").alias("mostly")) if dict(out.dtypes)["mostly"] == "bigint" else out
+
+
 
 
 @query("infer_numeric_locale", "SELECT o_orderkey AS k, CAST(o_custkey + 0.5 AS DOUBLE) AS v FROM orders")

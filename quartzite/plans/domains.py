@@ -244,3 +244,17 @@ register(Pack("retail", (
     Rule("RT-003", "format", "error", ("gln",), "gtin", {"lengths": (13,)}),
     Rule("RT-004", "business", "warning", ("net_content", "net_content_uom"), "both_present"),
 ), aliases={"gtin": r"upc|ean|barcode"}))
+
+
+def validate_feed(frames: dict[str, DataFrame], packs: dict[str, str], references: list[tuple[str, str, str, str]] = (), as_of: str | None = None) -> dict:
+    """Reports of a feed of named frames, and the rows of each reference (file, field, target file, target field) that has no target."""
+    out = {name: validate(df, packs[name], as_of=as_of) for name, df in frames.items() if name in packs}
+    orphans = {}
+    for file, column, target, target_column in references:
+        if file in frames and target in frames:
+            known = frames[target].select(q(target_column).alias("_known")).distinct()
+            orphans[file, column] = frames[file].where(q(column).isNotNull()).join(known, q(column) == F.col("_known"), "left_anti").count()
+    return {"frames": out, "orphans": orphans}
+
+
+from quartzite.plans import domain_packs  # noqa: E402, F401  the packs register themselves
