@@ -11,7 +11,7 @@ Categories: ``low_quality`` (label quality 0), ``toxic`` (label toxic 1), ``seve
 probability of ``toxic`` is ``threshold`` or more.
 
 Defined cases: a null text is empty and scored as such; without labelled rows of both classes a category gets the smoothed share of its
-label (0.5 without any labels: nothing is rejected then); repeated rows each get their row; empty tables give empty results;
+label (next to none without any labels: nothing is rejected then); repeated rows each get their row; empty tables give empty results;
 other columns pass through ``reject_toxic``.
 """
 
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, vocabulary: int
     totals = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in CATEGORIES)).first()
     n, sums = totals[0], totals[1:]
     if not n:
-        return Toxicity([], [np.zeros(1 + c) for c in range(len(CATEGORIES))])
+        return Toxicity([], [np.append(np.zeros(c), -8.0) for c in range(len(CATEGORIES))])
     by_word = rows.select(F.explode("words").alias("word"), *CATEGORIES).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CATEGORIES)).where(F.col("n") >= LEAST)
     chosen: set[bytes] = set()
     for c, s in zip(CATEGORIES, sums, strict=True):
