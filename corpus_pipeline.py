@@ -22,10 +22,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go from all of them; documents with nothing else left go too."""
-    out = dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
-    emptied = (F.col("_n_dropped") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    return out.where(~emptied).select(*COLUMNS)
+    """Lines that ten documents or more share go from all of them. Copies count as one document here: near_dedup keeps one of
+    them, with its text. A document with nothing else left stays, empty."""
+    return dedup_lines(docs.select(*COLUMNS), copies_once=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ two independent 64-bit hashes. Main path: DataFrame functions only.
 Defined cases: a null text is one empty line and is returned as an empty text; an empty table gives an empty result; repeated
 rows of one doc_id count as one document for the frequencies and each gives its own result row; rows
 without doc_id count as one document together; other columns pass through ``dedup_lines`` untouched.
+With ``copies_once``, texts with the same keys in the same order count as one document whatever their ids, so that a text is not
+emptied for its copies' sake; each distinct text of one doc_id, or without any, then counts.
 """
 
 from __future__ import annotations
@@ -65,21 +67,24 @@ class RunIndex:
             discard(self.spark, *(path for _, path in full))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, text_col: str = "text", id_col: str = "doc_id", copies_once: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rid of the lines whose key is in ``min_docs`` documents or more, and with
     ``_n_lines`` and ``_n_dropped``. Keys shorter than ``min_chars`` code points always stay."""
     spark = docs.sparkSession
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # what counts as one document
+    own = (F.xxhash64(F.transform(lines_of(text), line_key)) if copies_once else ident).alias("own")
     keyed = (
-        docs.select(ident.alias("id"), F.xxhash64(text).alias("th"), F.posexplode(lines_of(text)).alias("pos", "line"))
-        .select("id", "th", "pos", line_key(F.col("line")).alias("key"))
+        docs.select(ident.alias("id"), F.xxhash64(text).alias("th"), own, text.alias("text"))  # once a document, not once a line
+        .select("id", "th", "own", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        .select("id", "th", "own", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8191), F.col("key")).alias("h2"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
+        .select("id", "th", "own", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8191), F.col("key")).alias("h2"), F.pmod(F.xxhash64("own"), F.lit(batches)).cast("int").alias("batch"))
     )
     keyed, _ = stored(keyed, "lines")
     index = RunIndex(spark, fanout)
     for i in range(batches):
-        batch = index.open_lines(keyed.where(F.col("batch") == i), min_docs).select("h1", "h2", "id").distinct()
+        batch = index.open_lines(keyed.where(F.col("batch") == i), min_docs).select("h1", "h2", "own").distinct()
         index.add(batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
     frequent = index.merged(index.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2")
     hit = keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("_hit"))

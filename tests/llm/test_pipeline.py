@@ -46,6 +46,18 @@ def test_stages_in_order(spark):
     assert {(r.doc_id, r.text) for r in decode(tokens).collect()} == {(i, texts[i]) for i in left}
 
 
+def test_one_of_many_copies_keeps_its_text(spark):
+    clean = "\n".join(f"line {i} of a clean text about rivers and hills number {i}" for i in range(6))
+    alike = [clean, clean.upper(), clean.replace("\n", " \n\t")]  # the same lines by their keys
+    rows = [(i, alike[i % 3]) for i in range(15)] + [(20 + i, f"All rights reserved.\nown words {i} only in this one") for i in range(10)] + [(40, "All rights reserved.")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = P.line_dedup(spark, docs, SF)
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    assert texts == dict(rows[:15]) | {20 + i: f"own words {i} only in this one" for i in range(10)} | {40: ""}
+    assert {r.doc_id: r.n_chars for r in lines.collect()} == {i: len(t) for i, t in texts.items()}
+    assert {r.doc_id: r.text for r in P.near_dedup(spark, lines, SF).collect()} == {i: t for i, t in texts.items() if i not in range(1, 15)}
+
+
 def test_odd_tables(spark, odd_docs, no_docs, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
