@@ -4,7 +4,8 @@ The categories come in a fixed order. The model of a category sees the document'
 it gave. To keep those inputs honest, they are out-of-fold in training: each fold is predicted by models that did not see it.
 Words are runs of ASCII letters and non-ASCII characters, lower-cased; each also counts by its first four to eight bytes, for words
 that share a stem. The vocabulary is the words and stems that tell a category apart best by their chi-square statistic over a bounded sample
-of labelled rows (``bound``, ``vocabulary``).
+of labelled rows (``bound``, ``vocabulary``). Counts are corrected for continuity (Yates), so that rare words weigh by how sure they are;
+words in fewer than ``LEAST`` rows of the sample tell nothing and are left out.
 Every document is scored on its whole text.
 
 Categories: ``low_quality`` (label quality 0), ``toxic`` (label toxic 1), ``severe`` (both). A document is rejected if the
@@ -28,7 +29,7 @@ from ._labelled import labelled_sample
 from ._shared import documents, stored
 
 CATEGORIES = ("low_quality", "toxic", "severe")
-BOUND, VOCABULARY, LEAST = 10_000, 100, 20
+BOUND, VOCABULARY, LEAST = 10_000, 100, 3
 STEMS = (4, 5, 6, 7, 8)
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -128,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, vocabulary: int
     for c, s in zip(CATEGORIES, sums, strict=True):
         a, k = F.col(c), F.col("n")
         gap = a * F.lit(float(n)) - k * F.lit(float(s))
-        chi = gap * gap / (k * (F.lit(float(n)) - k) + 1) * F.signum(gap)
+        sure = F.greatest(F.abs(gap) - n / 2, F.lit(0.0))
+        chi = sure * sure / (k * (F.lit(float(n)) - k) + 1) * F.signum(gap)
         chosen |= {bytes(r.word) for r in by_word.orderBy(chi.desc(), "word").limit(vocabulary).collect()}
     words = sorted(chosen)
     place = {w: i for i, w in enumerate(words)}

@@ -31,6 +31,16 @@ def test_toxicity_on_labels_it_has_not_seen(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
 
 
+def test_toxicity_of_rare_terms_by_language(spark):
+    small = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in toxicity_score(docs, labels).select("row.doc_id", "row.lang", "rejected").collect() if r.doc_id in toxic]
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([r.rejected for r in rows if toxic[r.doc_id] and r.lang == lang]) > 0.6
+    assert np.mean([r.rejected for r in rows if not toxic[r.doc_id]]) < 0.03
+
+
 def test_isotonic_is_monotone_least_squares():
     x, y = isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0, 1, 0, 0, 1, 1.0]))
     assert (np.diff(y) >= 0).all() and x[0] == 1 and x[-1] == 6
