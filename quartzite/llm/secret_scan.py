@@ -5,9 +5,10 @@ the matches; running sums of their lengths are the matches' code point positions
 
 Weak candidates (an access identifier, a random-looking secret, an endpoint) are common and harmless alone.
 They are reported only where complementary parts co-occur within ``scope`` characters of one text: a
-secret with an identifier or an endpoint nearby. The parts are reduced to the first start and last end of each kind in
-each block of ``scope`` characters, and a candidate meets at most the block before, its own and the next one: the interval
-join makes at most 9 rows of a candidate, however many parts a text has.
+secret with an identifier or an endpoint nearby. A part is filed under each block of ``scope`` characters that it reaches, and the
+parts are reduced to the first start and last end of each role in each block. A candidate meets its own blocks, the one before and
+the one after them: the interval join makes at most 3 rows of a candidate for each of these, however many parts a text has. Parts
+of one block are less than ``scope`` apart, so that the first start and last end decide as all of them would.
 
 Defined cases: a null text is empty; repeated rows each get their row; rows without doc_id are scanned too; empty
 tables give empty results; columns other than id and text are not read.
@@ -76,14 +77,14 @@ def linked(parts: DataFrame, scope: int) -> DataFrame:
     access keys as identifiers, assigned and hex values as secrets.
     """
     role = F.when(F.col("kind").isin("access", "identifier"), "id").when(F.col("kind") == "endpoint", "at").otherwise("key")
-    parts = parts.withColumn("role", role).withColumn("block", F.floor(F.col("s") / scope))
+    parts = parts.withColumn("role", role)
+    reached = lambda d: F.explode(F.sequence(F.floor(F.col("s") / scope) - d, F.floor(F.col("e") / scope) + d)).alias("block")
     # what a block holds, by role: one row however many parts
-    blocks = parts.groupBy("row", "block", "role").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
-    near = blocks.select("row", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))).alias("block"), F.col("role").alias("other"), "lo", "hi")
-    weak = parts.where("weak")
+    blocks = parts.select("row", reached(0), F.col("role").alias("other"), "s", "e").groupBy("row", "block", "other").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
+    weak = parts.where("weak").select("row", "kind", "role", "s", "e", reached(1))
     within = (F.col("lo") - F.col("e") <= scope) & (F.col("s") - F.col("hi") <= scope)
     fits = F.when(F.col("role") == "key", F.col("other") != "key").otherwise(F.col("other") == "key")
-    met = weak.join(near, ["row", "block"]).where(fits & within)
+    met = weak.join(blocks, ["row", "block"]).where(fits & within)
     return met.groupBy("row", "kind", "s", "e").agg(F.first("role").alias("role")).select("row", "kind", "s", "e")
 
 

@@ -39,6 +39,19 @@ def test_weak_parts_only_together(spark):
     assert got == {1: [], 2: [], 3: ["identifier", "secret"], 4: [], 5: ["secret"], 6: ["endpoint", "secret"], 7: []}
 
 
+def test_links_reach_the_whole_scope(spark):
+    key, host = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1" * 2, "https://db.example.com"
+    gaps = [(pad, gap) for pad in (0, 1, 200, 346, 399) for gap in (1, 350, 399, 400, 401, 450)]
+    texts = {n: " " * pad + key + " " * gap + host for n, (pad, gap) in enumerate(gaps)}
+    texts |= {100 + n: " " * pad + host + " " * gap + key for n, (pad, gap) in enumerate(gaps)}
+    want = {n: ["endpoint", "secret"] if gaps[n % 100][1] <= 400 else [] for n in texts}
+    jwt = ".".join(["eyJhbGciOi" * 9, "Zx9Qw8Er7T" * 40, "Ui5Op4As3D" * 41])
+    texts |= {200: f'token = "{jwt}" {host}', 201: f"{host} {'x ' * 190} token={jwt}", 202: f"{'0123456789abcdef' * 80} {host}", 203: f"{key} https://{'a-long-name.' * 80}com {key}", 204: f'token = "{jwt}" {"x " * 210} {host}'}
+    want |= {200: ["endpoint"], 201: ["endpoint"], 202: ["endpoint"], 203: ["endpoint", "secret", "secret"], 204: []}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: sorted(x.kind for x in r.extra) for r in secrets(df).collect()} == want
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert all(not r.base and not r.extra for r in secrets(odd_docs).collect())
     assert secrets(odd_docs).count() == 11 and secrets(no_docs).count() == 0
