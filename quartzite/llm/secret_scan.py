@@ -27,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Weak parts: identifiers and secrets have letters and digits mixed, endpoints are addresses with a host.
 IDENTIFIER = r"\b[A-Z][A-Z0-9]{15,31}\b"
-SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,64}={0,2}(?![A-Za-z0-9+/_=-])"
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"\bhttps?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|amazonaws\.com|cloud|api)\b"
 SCOPE = 400
 

@@ -52,6 +52,13 @@ def test_links_reach_the_whole_scope(spark):
     assert {r.doc_id: sorted(x.kind for x in r.extra) for r in secrets(df).collect()} == want
 
 
+def test_secrets_of_any_length(spark):
+    long = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"
+    rows = [(1, f"https://db.example.com {(long * 4)[:86]}=="), (2, f"id ABCD1234EFGH5678IJ with {long * 40}"), (3, f"only {long * 40}")]
+    got = {r.doc_id: sorted(x.kind for x in r.extra) for r in secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["endpoint", "secret"], 2: ["identifier", "secret"], 3: []}
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert all(not r.base and not r.extra for r in secrets(odd_docs).collect())
     assert secrets(odd_docs).count() == 11 and secrets(no_docs).count() == 0
