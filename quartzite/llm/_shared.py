@@ -17,27 +17,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset in a single process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quartzite-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def on_files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. The driver removes what is
+    left of such tables when it ends; ``discard`` removes them sooner."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quartzite/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = on_files(spark, path)
+    files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove scratch tables that nothing reads any more."""
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = on_files(spark, path)
+        files.delete(target, True)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if a count finds at most ``rows`` rows; otherwise as it is, so that a join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def let(value: Column, body) -> Column:

@@ -1,7 +1,8 @@
 """Secret scans: three base patterns, and multipart credentials by interval joins.
 
 Positions without Python: ``split`` by a pattern gives the pieces between its matches, ``regexp_extract_all``
-the matches; running sums of their lengths are the matches' code point positions.
+the matches; running sums of their lengths, in steps, are the matches' code point positions. Patterns and sums take time in
+proportion to the text, however long its runs and however many its matches.
 
 Weak candidates (an access identifier, a random-looking secret, an endpoint) are common and harmless alone.
 They are reported only where complementary parts co-occur within ``scope`` characters of one text: a
@@ -28,27 +29,46 @@ HEX = r"[0-9a-f]{32,}"
 #: Weak parts: identifiers and secrets have letters and digits mixed, endpoints are addresses with a host.
 IDENTIFIER = r"\b[A-Z][A-Z0-9]{15,31}\b"
 SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"\bhttps?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|amazonaws\.com|cloud|api)\b"
+#: A run of host characters is taken whole, once, from its first character, and then has to end in a known suffix: no search goes back
+#: over a run, however long. Dots and hyphens after the suffix are cut off.
+ENDPOINT = r"\bhttps?://[A-Za-z0-9.-]++(?::[0-9]++)?|(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9.-]*+(?<=\.(?:internal|amazonaws\.com|cloud|api)[.-]{0,3})"
+#: What any endpoint holds: found faster than endpoints are.
+HOST_HINT = r"https?://|\.(?:internal|amazonaws\.com|cloud|api)"
+#: Matches whose positions are summed at a time.
+STEP = 256
 SCOPE = 400
 
 
 def spans(text: Column, pattern: str, hint: Column) -> Column:
-    """Array of (start, end, text) of the matches of ``pattern``; only rows where ``hint`` holds are searched."""
-
-    def placed(pieces: Column, found: Column) -> Column:
-        begin = F.aggregate(
-            F.sequence(F.lit(0), F.size(found) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
-            lambda acc, i: F.struct(
-                (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.get(pieces, i))).alias("s"), (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("e"), F.get(found, i).alias("m")))).alias("out"),
-            ),
+    """Array of (start, end, text) of the matches of ``pattern``; only rows where ``hint`` holds are searched.
+
+    Running sums are taken in steps of ``STEP`` matches: appending to one array for the whole text would copy it at every match.
+    """
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    lengths = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["m"]) - 1), lambda i: F.struct(F.length(F.get(x["p"], i)).alias("gap"), F.length(F.get(x["m"], i)).alias("own"), F.get(x["m"], i).alias("m")))
+    part = lambda all_, b: F.slice(all_, b * STEP + 1, F.lit(STEP))
+
+    def running(items: Column, first: Column, width, out_type: str, entry) -> Column:
+        """``entry(sum before, item)`` of each item, in order."""
+        return F.aggregate(
+            items,
+            F.struct(first.alias("at"), F.array().cast(out_type).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + width(x)).alias("at"), F.concat(acc["out"], F.array(entry(acc["at"], x))).alias("out")),
             lambda acc: acc["out"],
         )
-        return F.when(F.size(found) > 0, begin).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
-    got = let(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda x: placed(x["p"], x["m"]))
-    return F.when(hint, got).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    def within(all_: Column, first: Column, b: Column) -> Column:
+        span = lambda at, x: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["own"]).alias("e"), x["m"].alias("m"))
+        return running(part(all_, b), first, lambda x: x["gap"] + x["own"], "array<struct<s:int,e:int,m:string>>", span)
+
+    def placed(all_: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int"))
+        sums = F.transform(steps, lambda b: F.aggregate(part(all_, b), F.lit(0), lambda acc, x: acc + x["gap"] + x["own"]))
+        firsts = running(sums, F.lit(0), lambda x: x, "array<int>", lambda at, x: at)
+        return let(firsts, lambda f: F.flatten(F.transform(steps, lambda b: within(all_, F.get(f, b), b))))
+
+    got = let(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda x: F.when(F.size(x["m"]) > 0, let(lengths(x), placed)).otherwise(none))
+    return F.when(hint, got).otherwise(none)
 
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -59,14 +79,14 @@ def found_parts(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
     strong = lambda x: mixed(x) & x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]")
-    search = lambda pattern: spans(text, pattern, text.rlike(pattern))
+    search = lambda pattern, hint=None: spans(text, pattern, text.rlike(hint or pattern))
     return {
         "assign": F.filter(search(ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 8),
         "access": search(ACCESS),
         "hex": search(HEX),
         "identifier": F.filter(search(IDENTIFIER), mixed),
         "secret": F.filter(search(SECRET), strong),
-        "endpoint": search(ENDPOINT),
+        "endpoint": F.transform(search(ENDPOINT, HOST_HINT), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(F.rtrim(x["m"], F.lit(".-")))).alias("e"), x["m"].alias("m"))),
     }
 
 
