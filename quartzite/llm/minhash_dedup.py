@@ -7,10 +7,11 @@ no bin is empty. Coordinates agree with probability J, with concentration as for
 
 ``t`` = bands * rows coordinates are cut into bands; documents that agree on a band share a bucket. A bucket is
 never expanded into pairs: its first member is the leader and each other member is verified against it on
-the full shingle sets. Verified links make components. In buckets that still hold several components, the members
-outside the leader's component are compared with those of other components, each pair once, or in blocks without making
-pairs where that component is large. A pair at similarity 0.8
-misses all bands with probability (1 - 0.8^rows)^bands, 5e-7 as set.
+the full shingle sets. Verified links make components. In buckets that still hold several components, the members outside the leader's
+component (outsiders) meet all others, in blocks of bounded size, in the first bucket that two of them share: first their sketches, and where
+those agree well enough their full shingle sets. No pairs are made but links, at most one for an outsider and another component in a block.
+A pair at similarity 0.8 misses all bands with probability (1 - 0.8^rows)^bands, 5e-7 as set; sketches are turned away at six standard deviations
+(1e-9).
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; one word makes a set of
 one; documents with the same set are one class (links of a class are links of its first document); a doc_id that
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import discard, documents, stored
+from ._shared import discard, documents, few, stored
 
 BANDS, ROWS = 48, 6
-#: Components of more members have their surroundings solved in blocks; and the rows of a block on either side.
-HOT, BLOCK = 64, 256
-#: Ids that may be broadcast to pick the texts to compare: 16 MB. Beyond, that join shuffles.
+#: Rows of a block on either side.
+BLOCK = 512
+#: Ids that may be broadcast, to pick texts or for the blocks of large buckets: 16 MB. Beyond, such a join shuffles.
 IDS = 1_000_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
@@ -154,19 +155,22 @@ def sketcher(width: int, bands: int, rows: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            count, h1, h2, keys = [], [], [], []
+            count, h1, h2, keys, digests = [], [], [], [], []
             for data, offsets in chunks(batch.column(1)):
                 for s in shingles_of(*hasher.words(data, offsets), len(offsets) - 1, width):
                     count.append(len(s))
                     h1.append(mix(s).sum(dtype=np.uint64))
                     h2.append(mix(s ^ _U(0xD1B54A32D192ED03)).sum(dtype=np.uint64))
-                    keys.append(bands_of(sketch(s, bands * rows), bands) if len(s) else None)
+                    coordinates = sketch(s, bands * rows) if len(s) else None
+                    keys.append(None if coordinates is None else bands_of(coordinates, bands))
+                    digests.append(None if coordinates is None else coordinates.astype(np.uint8).tobytes())
             full = [k for k in keys if k is not None]
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([0 if k is None else bands for k in keys])]), pa.int32()), pa.array(np.concatenate(full) if full else np.zeros(0, np.int64), pa.int64())
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), lists], ["doc_id", "n_shingles", "h1", "h2", "bands"]
+                [batch.column(0), pa.array(count, pa.int64()), pa.array(np.array(h1, dtype=np.uint64).view(np.int64)), pa.array(np.array(h2, dtype=np.uint64).view(np.int64)), lists, pa.array(digests, pa.binary())],
+                ["doc_id", "n_shingles", "h1", "h2", "bands", "digest"],
             )
 
     return run
@@ -178,13 +182,15 @@ def verifier(width: int, percent: int):
         return set(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, own = None, set()
+        seen: tuple | None = None
+        own: set = set()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             linked = []
             for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                if a[i] != seen:
-                    seen, own = a[i], shingles(ta.as_py())
+                # one doc_id may have several texts
+                if (key := (a[i], ta.as_py())) != seen:
+                    seen, own = key, shingles(key[1])
                 other = shingles(tb.as_py())
                 both = len(own & other)
                 linked.append(bool(own) and 100 * both >= percent * (len(own) + len(other) - both))
@@ -201,12 +207,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(verifier(width, percent), "a long, b long").distinct()
 
 
-def with_components(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets of more than two, with their component and whether it is another one than the leader's."""
+def outsiders(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of more than two, with their component (comp) and whether it is another one than the leader's (out)."""
     comp = found.select(F.col("node").alias("rep"), "component")
     named = inside.where("size > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     named = named.join(comp.withColumnRenamed("rep", "lead"), "lead", "left").withColumn("out", F.col("comp") != F.coalesce("component", "lead"))
-    return named.select("band", "rep", "n", "comp", "out", F.coalesce("component", "lead").alias("home"))
+    return named.select("band", "rep", "n", "comp", "out")
 
 
 def set_reader(width: int):
@@ -219,11 +225,86 @@ def set_reader(width: int):
     return run
 
 
-def crowd_solver(percent: int):
-    """Links between the outsiders (``side``) and all others of one block pair: one for each outsider and other component at most, as
-    components need no more. Intersections are counted for all members at once, by marking an outsider's elements."""
+KEYS = ["band", "x", "y"]
 
-    def run(table: pa.Table) -> pa.Table:
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """The members of mixed buckets (band, rep, comp, out, ...) by block: outsiders are the left side of the blocks (x, y) of their x, all members
+    the right side of those of their y. A bucket of up to BLOCK members is one block."""
+    parts = rows.groupBy("band").agg(F.ceil(F.count_if("out") / BLOCK).cast("int").alias("xs"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ys")).where("ys > 1")
+    parts, _ = stored(parts, "blocks")
+    one = F.lit(1)
+    rows = rows.join(few(parts, IDS), "band", "left").withColumns({"xs": F.coalesce("xs", one), "ys": F.coalesce("ys", one)})
+    block = lambda n: F.pmod(F.xxhash64(F.lit(5), "rep"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = F.when(F.col("out"), F.transform(each("ys"), lambda y: F.struct(block("xs").alias("x"), y.alias("y"), F.lit(True).alias("side")))).otherwise(F.array().cast("array<struct<x:int,y:int,side:boolean>>"))
+    right = F.transform(each("xs"), lambda x: F.struct(x.alias("x"), block("ys").alias("y"), F.lit(False).alias("side")))
+    return rows.withColumn("to", F.explode(F.concat(left, right))).select("*", "to.*").drop("to", "xs", "ys", "out")
+
+
+def by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` on the rows of each block, as one table after the other in a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own = tuple(int(k[lo]) for k in key)
+                if own != last and held:
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = own
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    others = [c for c in rows.columns if c not in KEYS]
+    return rows.select(*KEYS, *others).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
+def stacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.array([np.frombuffer(x.as_py(), dtype=dtype) for x in column])
+
+
+def sketch_solver(percent: int, t: int):
+    """The rows of a block that may have a link in it: this is the first bucket that the two share, they are of different components and of
+    sizes that allow a link, and their sketches agree in enough places."""
+    j = percent / 100
+    agree_least = j - 6 * np.sqrt(j * (1 - j) / t)
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(left) or not len(right):
+            return
+        band, rep, comp, n = (table.column(c).to_numpy() for c in ("band", "rep", "comp", "n"))
+        digest, keys = stacked(table.column("digest"), np.uint8), stacked(table.column("keys"), np.int64)
+        used = np.zeros(len(side), dtype=bool)
+        for i in left:
+            at = right[comp[right] != comp[i]]
+            at = at[np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent]
+            same = keys[at] == keys[i]
+            at = at[same.any(1) & (keys[i][same.argmax(1)] == band[i])]
+            at = at[(digest[at] == digest[i]).mean(1) >= agree_least]
+            used[at] = True
+            used[i] = len(at) > 0
+        if used.any():
+            yield from table.select([*KEYS, "rep", "comp", "side"]).filter(pa.array(used)).to_batches()
+
+    return solve
+
+
+def set_solver(percent: int):
+    """Links between the left and the right side of one block: one for each outsider and other component at most, as
+    components need no more. Intersections are counted for the whole right side at once, by marking an outsider's elements."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         side, rep, comp = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
         sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("elements")]
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
@@ -231,52 +312,57 @@ def crowd_solver(percent: int):
         if len(left) and len(right):
             values, code = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
             size = np.array([len(sets[i]) for i in right])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
             mark = np.zeros(len(values), dtype=np.int32)
             for i in left:
                 at = np.searchsorted(values, sets[i])
                 at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[i])]
                 mark[at] = 1
-                both = np.add.reduceat(mark[code], starts)
+                both = np.add.reduceat(mark[code], begin)
                 mark[at] = 0
                 hits = np.flatnonzero((100 * both >= percent * (len(sets[i]) + size - both)) & (comp[right] != comp[i]))
                 for j in hits[np.unique(comp[right][hits], return_index=True)[1]]:
                     a.append(rep[i])
                     b.append(rep[right[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return solve
 
 
-def crowd_links(crowd: DataFrame, first: DataFrame, involved, width: int, percent: int) -> tuple[DataFrame, list[str]]:
-    """Links of the outsiders around large components (home, rep, comp): each is compared with all members of its home and with the
-    home's other outsiders, in blocks of about BLOCK rows either side. No pairs are made, and a row is sent once for each block of the
-    other side."""
-    homes = crowd.select("home").distinct()
-    inside = first.select(F.col("component").alias("home"), F.col("node").alias("rep"), F.col("component").alias("comp")).join(homes, "home", "left_semi")
-    ids = crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")).unionByName(inside.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    sets, at_sets = stored(involved(ids).mapInArrow(set_reader(width), "rep long, elements binary"), "sets")
-    everyone = crowd.withColumn("out", F.lit(True)).unionByName(inside.withColumn("out", F.lit(False)))
-    parts = everyone.groupBy("home").agg(F.ceil(F.count_if("out") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"))
-    rows = everyone.join(parts, "home").join(sets, "rep")
-    block = lambda n: F.pmod(F.xxhash64(F.lit(5), "rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("out").select("home", block("out_blocks").alias("x"), each("all_blocks").alias("y"), F.lit(True).alias("side"), "rep", "comp", "elements")
-    right = rows.select("home", each("out_blocks").alias("x"), block("all_blocks").alias("y"), F.lit(False).alias("side"), "rep", "comp", "elements")
-    found, at_found = stored(left.unionByName(right).groupBy("home", "x", "y").applyInArrow(crowd_solver(percent), "a long, b long"), "crowd-links")
-    return found, [at_sets, at_found]
+def remaining_links(inside: DataFrame, classes: DataFrame, first: DataFrame, involved, width: int, percent: int, t: int) -> tuple[DataFrame, list[str]]:
+    """Links of the outsiders of all buckets with members of other components."""
+    named, at_named = stored(outsiders(inside, first), "named")
+    mixed = named.join(named.where("out").select("band").distinct(), "band", "left_semi")
+    packed = classes.select("rep", "digest", F.col("bands"))
+    rows = blocked(mixed).join(packed, "rep")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bands as bytes, which are cheaper to sort along than an array."""
+        for b in batches:
+            lists = b.column("bands")
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            keys = pa.array([flat[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys if c == "bands" else b.column(c) for c in b.schema.names], ["keys" if c == "bands" else c for c in b.schema.names])
+
+    rows = rows.mapInArrow(unpacked, ", ".join(f"{'keys' if c == 'bands' else c} {'binary' if c == 'bands' else t}" for c, t in rows.dtypes))
+    near, at_near = stored(by_block(rows, sketch_solver(percent, t), "band long, x int, y int, rep long, comp long, side boolean"), "near")
+    sets, at_sets = stored(involved(near.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).mapInArrow(set_reader(width), "rep long, elements binary"), "sets")
+    found, at_found = stored(by_block(near.join(sets, "rep"), set_solver(percent), "a long, b long").distinct(), "more")
+    return found, [at_named, at_near, at_sets, at_found]
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set class (h1, h2) of each row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches, _ = stored(source.mapInArrow(sketcher(width, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
+    sketches, _ = stored(source.mapInArrow(sketcher(width, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, digest binary"), "sketch")
     filled = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # rows of one set are one class; its bands are the same in each row
-    classes, at_classes = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "class")
+    classes, at_classes = stored(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("digest").alias("digest")), "class")
     member = classes.select(F.explode("bands").alias("band"), "rep", "n")
-    lead = member.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    # tables of their own: a join with a written table is one that Spark can split where a key is hot
+    lead, at_lead = stored(member.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1"), "lead")
     inside = member.join(lead, "band")
     inside, at_inside = stored(inside.select("band", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), "size"), "bucket")
 
@@ -286,7 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
 
     def involved(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return source.join(F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids, "doc_id", "left_semi")
+        return source.join(few(ids, IDS), "doc_id", "left_semi")
 
     links, at_links = stored(verified(star, involved(star), width, percent), "links")
     same = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select("doc_id")
@@ -295,30 +381,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     links = links.unionByName(ties)
     first = components(links)
 
-    # A bucket whose members all are in the leader's component is done. Else its outsiders meet the members of other components;
-    # a pair that shares several buckets is made in the first of them only, so the join makes each pair once.
-    named = with_components(inside, first)
-    large = first.groupBy(F.col("component").alias("home")).agg(F.count("*").alias("members")).where(F.col("members") > HOT)
-    crowd, at_crowd = stored(named.where("out").join(large, "home").select("home", "rep", "comp").distinct(), "crowd")
-    around, scratch = crowd_links(crowd, first, involved, width, percent)
-    named = named.join(large.select("home"), "home", "left_anti")
-    spread = named.where("out").select("band").distinct()
-    marks = classes.select("rep", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
-    mixed, at_mixed = stored(named.join(spread, "band", "left_semi").join(marks, "rep"), "mixed")
-    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "comp", "out", "marks")))
-    shared = F.array_position(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), F.lit(True))
-    meet = F.array_position(F.col("marks_a"), F.hash("band"))
-    left, right = side(mixed.where("out"), "a"), side(mixed, "b")
-    met = left.join(right, "band").where(F.col("comp_a") != F.col("comp_b")).where(~F.col("out_b") | (F.col("rep_a") < F.col("rep_b"))).where(fits(F.col("n_a"), F.col("n_b"))).where(shared == meet)
-    more = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    more, at_more = stored(more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    final = components(links.unionByName(around).unionByName(verified(more, involved(more), width, percent)))
+    # a bucket whose members all are in the leader's component is done
+    more, scratch = remaining_links(inside, classes, first, involved, width, percent, bands * rows)
+    final = components(links.unionByName(more))
 
     found = classes.select("h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.join(found, ["h1", "h2"], "left")
+    found, _ = stored(found, "component")
+    out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
-    discard(spark, at_inside, at_star, at_mixed, at_more, at_links, at_crowd, *scratch)
+    discard(spark, at_lead, at_inside, at_star, at_links, at_classes, *scratch)
     return out
 
 

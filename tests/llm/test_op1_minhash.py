@@ -49,7 +49,6 @@ def test_chains_and_crowded_buckets(spark, monkeypatch):
 
 def test_outsiders_of_a_large_component(spark, monkeypatch):
     """Many copies at distances around the threshold: linked to some of a component only, to each other only, or to nothing."""
-    monkeypatch.setattr("quartzite.llm.minhash_dedup.HOT", 5)
     monkeypatch.setattr("quartzite.llm.minhash_dedup.BLOCK", 7)
     rng = np.random.default_rng(8)
     base, rows = [f"w{i}" for i in range(80)], []
@@ -65,6 +64,15 @@ def test_outsiders_of_a_large_component(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is compared, whatever the order in which they come."""
+    base = [f"w{i}" for i in range(60)]
+    one, two = " ".join(base), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, "more " + two), (5, "nothing of that kind")]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = {}
     for r in near_duplicates(odd_docs).collect():
