@@ -1,9 +1,11 @@
 """Corpus-wide line deduplication by levelled sorted runs of line hashes.
 
 The state is a log-structured merge index: every batch of documents is reduced to a *run*, a table of
-(line hash, number of documents with it) sorted by hash. Runs of one level are compacted into one run of
-the next as soon as ``fanout`` of them exist. A new batch is merge-anti-joined with the runs (a line that a
-run already has in enough documents is settled and needs no more counting) and then adds its own run.
+(line hash, number of documents with it), dealt to buckets by hash and sorted in each, one file a bucket. Runs of one level are compacted
+into one run of the next as soon as ``fanout`` of them exist. A new batch, reduced and dealt in the same way, is merge-anti-joined with the
+runs (a line that a run already has in enough documents is settled and needs no more counting) and then adds its own run. As all
+runs have the same buckets, neither the anti joins nor compaction shuffle a run again; Spark's merge does sort the buckets once more, which
+costs one pass over what is in order already. A batch is reduced before it meets the runs, so that a very common line is one row there.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; keys are compared by
 two independent 64-bit hashes. Main path: DataFrame functions only.
@@ -17,12 +19,16 @@ emptied for its copies' sake; each distinct text of one doc_id, or without any,
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, discard, documents, let, stored
+from ._shared import ascii_lower, discard, documents, few, let, on_files, scratch_root, stored
+
+#: Frequent lines that may be broadcast: 16 MB. Beyond, their join shuffles, and Spark splits what is hot.
+LINES = 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -35,39 +41,62 @@ def line_key(line: Column) -> Column:
 
 @dataclass
 class RunIndex:
-    """Sorted runs of (h1, h2, n_docs) by level, kept as tables in the shared folder."""
+    """Sorted runs of (h1, h2, n_docs) by level, kept as bucketed tables in the shared folder until ``close``."""
 
     spark: SparkSession
-    fanout: int = 4
-    levels: list[list[tuple[DataFrame, str]]] = field(default_factory=list)
+    fanout: int = 3
+    buckets: int = 0
+    levels: list[list[tuple[str, str]]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run, _ in level]
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
+        # Spark 4.1 plans a union of columnar scans as if it kept the buckets together, and then does not; behind a filter, which works on rows, it does
+        out, *rest = (run.where("n_docs > 0") for run in runs)
+        for run in rest:
             out = out.unionByName(run)
         return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")) if len(runs) > 1 else out
 
-    def open_lines(self, batch: DataFrame, settled: int) -> DataFrame:
-        """Rows of ``batch`` (h1, h2, ...) whose line no run has in ``settled`` documents: a settled line is decided for good, so later runs leave it out."""
+    def dealt(self, counts: DataFrame) -> DataFrame:
+        return counts.repartition(self.buckets, "h1", "h2")
+
+    def open_lines(self, counts: DataFrame, settled: int) -> DataFrame:
+        """Rows of ``counts`` (h1, h2, ...) whose line no run has in ``settled`` documents: a settled line is decided for good, so later runs leave it out."""
         for run in self.runs():
-            batch = batch.join(run.where(F.col("n_docs") >= settled).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return batch
+            counts = counts.join(run.where(F.col("n_docs") >= settled).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return counts
 
     def add(self, counts: DataFrame, level: int = 0) -> None:
-        """Store ``counts`` as one run, sorted by hash; compact the level when it is full."""
+        """Store ``counts``, dealt to the buckets, as one run; compact the level when it is full."""
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(counts.sortWithinPartitions("h1", "h2"), f"run{level}"))
+        name = f"quartzite_run_{uuid.uuid4().hex}"
+        path = f"{scratch_root(self.spark)}/quartzite/{name}"
+        counts.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        files, target = on_files(self.spark, path)
+        files.deleteOnExit(target)
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self.add(self.merged([run for run, _ in full]), level + 1)
-            discard(self.spark, *(path for _, path in full))
+            self.add(self.dealt(self.merged([self.spark.table(n) for n, _ in full])), level + 1)
+            self.drop(full)
+
+    def drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+
+    def close(self) -> None:
+        for level in self.levels:
+            self.drop(level)
+        self.levels = []
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, text_col: str = "text", id_col: str = "doc_id", copies_once: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 5, fanout: int = 3, text_col: str = "text", id_col: str = "doc_id", copies_once: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rid of the lines whose key is in ``min_docs`` documents or more, and with
     ``_n_lines`` and ``_n_dropped``. Keys shorter than ``min_chars`` code points always stay."""
     spark = docs.sparkSession
@@ -84,10 +113,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     keyed, _ = stored(keyed, "lines")
     index = RunIndex(spark, fanout)
     for i in range(batches):
-        batch = index.open_lines(keyed.where(F.col("batch") == i), min_docs).select("h1", "h2", "own").distinct()
-        index.add(batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")))
-    frequent = index.merged(index.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2")
-    hit = keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("_hit"))
+        batch = keyed.where(F.col("batch") == i).select("h1", "h2", "own").distinct()
+        index.add(index.open_lines(index.dealt(batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))), min_docs))
+    frequent, _ = stored(index.merged(index.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2"), "frequent")
+    index.close()
+    hit = keyed.join(few(frequent, LINES), ["h1", "h2"], "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("_hit"))
     # the document is one struct, so that no name of its columns can clash with ours
     rows = docs.select(F.struct("*").alias("row"), ident.alias("id"), F.xxhash64(text).alias("th"))
     hit = hit.hint("shuffle_hash").withColumnsRenamed({"id": "hit_id", "th": "hit_th"})

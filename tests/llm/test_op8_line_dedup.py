@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from quartzite.llm.line_dedup import dedup_lines, op8_line_dedup
+from quartzite.llm.line_dedup import RunIndex, dedup_lines, op8_line_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -36,3 +36,28 @@ def test_odd_rows(odd_docs, no_docs):
     got = [(r.doc_id, r._n_lines, r._n_dropped, r.text) for r in out.collect()]
     assert len(got) == 11 and (1, 1, 0, "") in got and (4, 1, 1, "") in got and got.count((7, 1, 1, "")) == 2
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_runs_merge_without_shuffles(spark):
+    """Anti joins with runs and their compaction read the buckets as they are; the levels fill up as they should."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = RunIndex(spark, fanout=2, buckets=4)
+        count = lambda lo: spark.range(lo, lo + 100).selectExpr("id as h1", "id * 7 as h2", "1 + id % 3 as n_docs")
+        for i in range(5):
+            index.add(index.open_lines(index.dealt(count(50 * i)), 3))
+        assert [len(level) for level in index.levels] == [1, 0, 1]
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(index.merged(index.runs()))
+        assert plan(index.open_lines(index.dealt(count(0)), 3)).count("Exchange") == 1
+        got = {r.h1: r.n_docs for r in index.merged(index.runs()).collect()}
+        # a line met twice counts twice, unless it was settled the first time
+        assert got == {i: (1 + i % 3) * (2 if i % 3 < 2 and 50 <= i < 250 else 1) for i in range(300)}
+        names = [name for level in index.levels for name, _ in level]
+        index.close()
+        assert not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
