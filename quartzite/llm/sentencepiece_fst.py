@@ -297,17 +297,19 @@ def read_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of each row of ``docs``."""
+    """doc_id, ids (array of int) and round_trip (whether they decode to the text again) of each row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model.value)
         for batch in batches:
             for part in slices(batch):
-                ids = pa.array([machine.encode(t.as_py() or "") for t in part.column(1)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                texts = [t.as_py() or "" for t in part.column(1)]
+                ids = [machine.encode(t) for t in texts]
+                same = [machine.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:

@@ -2,16 +2,18 @@
 
 1. A naive Bayes classifier over hashed words, fitted by counting on the labelled table (rows of known domain, a bounded sample
    ``bound``), gives each document posterior probabilities of the domains, on its whole text.
-2. Nonnegative document rates are fitted so that the expected domain token totals, sum over documents of rate * tokens *
-   posterior, match the target shares: least squares, by projected gradients. An iteration is one aggregate over the (small) table of
-   posteriors; its residuals, one number a domain, are all that reaches the driver. The step of a document is divided by its
-   tokens, so the rate follows the posteriors; rates never fall below ``least``.
+2. Nonnegative document rates are fitted so that the expected domain token totals, A rate = sum over documents of rate * tokens *
+   posterior, match the target shares: least squares with residuals weighted by M^-1, M = sum of tokens * posterior posterior', by projected
+   gradients. Lengths are measured in the metric of the tokens, which is diagonal, so that projecting is cutting off at ``least``; there the
+   gradient's Lipschitz constant is 1, as A' M^-1 A is then a projection, and the step of length 1 is rate <- max(least, rate - posterior . M^-1
+   residual). An iteration is one aggregate over the (small) table of posteriors; its residuals, one number a domain, are all that
+   reaches the driver.
 3. A document is drawn floor(rate) times and once more with the fraction's probability, decided by a hash of its id and text.
 
 With ``total`` unset the mixture is the smallest in which no document's rate falls under ``least`` = 1: every document stays and
 those of domains in demand are repeated. Main path: DataFrame and SQL functions only.
 
-Defined cases: a null or empty text has no tokens, gets the domains' shares as posterior and rate ``least``; unknown domains are
+Defined cases: a null or empty text has no tokens, gets the domains' shares as posterior and rate ``least``, whatever the targets; unknown domains are
 ignored in training; without labelled rows the posteriors are the targets; empty tables give empty results; repeated rows
 each get their row and the same draw; other columns pass through ``mixed``.
 """
@@ -84,8 +86,7 @@ def solve(m: list[list[float]], v: list[float]) -> list[float]:
 def rates(shares: DataFrame, targets: list[float], total: float | None, least: float, rounds: int) -> tuple[DataFrame, list[float]]:
     """``shares`` (tokens, p: array by domain, ...) with ``rate``; and the target token totals.
 
-    The residuals are weighted by the inverse of M = sum of tokens * p p', so that without the bound one step would do; a step is
-    rate <- max(least, rate - p . M^-1 residual).
+    Rows without tokens have no gradient and keep ``least``.
     """
     k = len(targets)
     p = [F.get("p", F.lit(d)) for d in range(k)]
@@ -104,7 +105,8 @@ def rates(shares: DataFrame, targets: list[float], total: float | None, least: f
         if max(map(abs, gap)) <= 1e-4 * total:
             break
         step = solve(m, gap)
-        out = out.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - sum((p[d] * step[d] for d in range(1, k)), p[0] * step[0])))
+        moved = F.greatest(F.lit(float(least)), F.col("rate") - sum((p[d] * step[d] for d in range(1, k)), p[0] * step[0]))
+        out = out.withColumn("rate", F.when(F.col("tokens") > 0, moved).otherwise(F.col("rate")))
         if i % 5 == 4:
             out, _ = stored(out, "rates")
         row = out.agg(*(F.sum(F.col("rate") * F.col("tokens") * p[d]) for d in range(k))).first()

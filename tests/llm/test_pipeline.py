@@ -43,6 +43,7 @@ def test_stages_in_order(spark):
     mixed = P.source_mixing(spark, near, SF)
     assert mixed.columns == P.COLUMNS and {r.doc_id for r in mixed.collect()} == left
     tokens = P.sentencepiece(spark, near, SF)
+    assert tokens.where("not round_trip").count() == 0
     assert {(r.doc_id, r.text) for r in decode(tokens).collect()} == {(i, texts[i]) for i in left}
 
 
@@ -61,6 +62,6 @@ def test_one_of_many_copies_keeps_its_text(spark):
 def test_odd_tables(spark, odd_docs, no_docs, tmp_path):
     odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert P.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids"]
+    assert P.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids", "round_trip"]
     no_docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
