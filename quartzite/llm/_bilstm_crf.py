@@ -5,8 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def curve(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place of the hyperbolic tangent: the same shape at a tenth of the time. Gates are (1 + curve) / 2."""
+    return x / (1 + np.abs(x))
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    """The derivative of ``curve`` where it is y."""
+    return (1 - np.abs(y)) ** 2
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -23,11 +29,11 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool
     out, saved = np.zeros((n, t, k)), []
     for i in range(t):
         z = xw[:, i] + h @ u
-        s = sigmoid(z[:, : 3 * k])
-        g = np.tanh(z[:, 3 * k :])
+        v = curve(z)
+        s, g = (1 + v[:, : 3 * k]) / 2, v[:, 3 * k :]
         before = (h, c)
         c = s[:, k : 2 * k] * c + s[:, :k] * g
-        tc = np.tanh(c)
+        tc = curve(c)
         h = s[:, 2 * k :] * tc
         out[:, i] = h
         if keep:
@@ -43,8 +49,8 @@ def lstm_back(dout: np.ndarray, x: np.ndarray, saved: list, w: np.ndarray, u: np
         s, g, tc, h0, c0 = saved[i]
         a, f, o = s[:, :k], s[:, k : 2 * k], s[:, 2 * k :]
         dh = dh + dout[:, i]
-        dc = dc + dh * o * (1 - tc**2)
-        d = np.concatenate([dc * g * a * (1 - a), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * a * (1 - g**2)], 1)
+        dc = dc + dh * o * slope(tc)
+        d = np.concatenate([dc * g, dc * c0, dh * tc, dc * a], 1) * np.concatenate([slope(2 * s - 1) / 2, slope(g)], 1)
         dz[:, i] = d
         du += h0.T @ d
         dh, dc = d @ u.T, dc * f
@@ -68,6 +74,10 @@ class Tagger:
         b = lstm(e[:, ::-1], p["wb"], p["ub"], p["cb"])[:, ::-1]
         return np.concatenate([f, b], 2) @ p["o"] + p["ob"]
 
+    def fast(self) -> "Emitter":
+        """The network in single precision, without what training needs."""
+        return Emitter(self.p)
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log likelihood a character, and its gradients."""
         p, e = self.p, self.p["e"][x]
@@ -141,3 +151,60 @@ class Tagger:
             tags[i - 1] = back[i, tags[i]]
         sure = np.exp(alpha + beta - logsumexp(alpha[-1], 0))
         return tags, sure[np.arange(t), tags]
+
+
+class Emitter:
+    """Emissions and tag marginals of many windows at a time (time first). The first layer is a table: a row for each symbol."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        half = lambda x: np.ascontiguousarray(x, dtype=np.float32)
+        hidden = p["uf"].shape[0]
+        self.sides = [(half(p["e"] @ p[f"w{d}"] + p[f"c{d}"]), half(p[f"u{d}"]), half(p["o"][i * hidden : (i + 1) * hidden])) for i, d in enumerate("fb")]
+        self.bias, self.step, self.start = half(p["ob"]), half(np.exp(p["t"] - p["t"].max())), half(np.exp(p["s"] - p["s"].max()))
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """(time, windows, tags) of symbols (time, windows)."""
+        steps, n = x.shape
+        out = np.empty((steps, n, len(self.bias)), dtype=np.float32)
+        for (table, u, o), forward in zip(self.sides, (True, False), strict=True):
+            k = u.shape[0]
+            h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+            z, other = np.empty((n, 4 * k), np.float32), np.empty((n, 4 * k), np.float32)
+            for t in range(steps) if forward else range(steps - 1, -1, -1):
+                np.matmul(h, u, out=z)
+                np.take(table, x[t], axis=0, out=other, mode="clip")
+                z += other
+                np.abs(z, out=other)
+                other += 1
+                z /= other
+                gates, g = z[:, : 3 * k], z[:, 3 * k :]
+                gates += 1
+                gates *= 0.5
+                c *= gates[:, k : 2 * k]
+                g *= gates[:, :k]
+                c += g
+                np.multiply(curve(c), gates[:, 2 * k :], out=h)
+                if forward:
+                    np.add(h @ o, self.bias, out=out[t])
+                else:
+                    out[t] += h @ o
+        return out
+
+    def outside(self, m: np.ndarray) -> np.ndarray:
+        """Probability of tag 0 at each place of windows of emissions (time, windows, tags)."""
+        e = np.exp(m - m.max(2, keepdims=True))
+        steps = len(e)
+        alpha = np.empty_like(e)
+        alpha[0] = e[0] * self.start
+        for t in range(steps):
+            if t:
+                np.multiply(alpha[t - 1] @ self.step, e[t], out=alpha[t])
+            alpha[t] /= alpha[t].sum(1, keepdims=True)
+        out = np.empty(e.shape[:2], dtype=np.float32)
+        beta = np.ones_like(e[0])
+        for t in range(steps - 1, -1, -1):
+            both = alpha[t] * beta
+            out[t] = both[:, 0] / both.sum(1)
+            beta = (e[t] * beta) @ self.step.T
+            beta /= beta.sum(1, keepdims=True)
+        return out
