@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.plans.stats import is_number, q, with_row_id
@@ -43,8 +43,11 @@ def duplicate_rows(df: DataFrame) -> int:
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
 
 
+def row_hash(columns: list[str]) -> Column:
+    return F.xxhash64(*(q(c) for c in columns))
+
+
 def recent_window_dedup(batch: DataFrame, seen: DataFrame | None, columns: list[str] | None = None) -> DataFrame:
     """Rows of a batch whose hash is not among ``seen`` (column h)."""
-    h = F.xxhash64(*(q(c) for c in columns or batch.columns))
-    fresh = batch.withColumn("_h", h).dropDuplicates(["_h"])
+    fresh = batch.withColumn("_h", row_hash(columns or batch.columns)).dropDuplicates(["_h"])
     return (fresh if seen is None else fresh.join(seen, fresh._h == seen.h, "left_anti")).drop("_h")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions import text as X
@@ -113,29 +113,50 @@ def scores(df: DataFrame, pairs: DataFrame, r: Resolution) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("score") >= r.match, "match").when(F.col("score") >= r.possible, "possible").otherwise("non_match"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def on_files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` to the folder that driver and executors share, and read it back; what is left goes when the driver ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quartzite-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/quartzite/er-{uuid.uuid4().hex}"
+    path = f"{root}/quartzite/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = on_files(spark, path)
+    files.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that nothing reads any more."""
+    for path in paths:
+        files, target = on_files(spark, path)
+        files.delete(target, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each id is connected with; labels are written after each step."""
+    spark = edges.sparkSession
     both = edges.select("left_id", "right_id").union(edges.select(F.col("right_id"), F.col("left_id"))).toDF("a", "b").distinct()
-    both = _stored(both)
-    labels = _stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")))
+    both, at_both = stored(both)
+    labels, at = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         above = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        new = _stored(step.join(above, "root").select("id", F.least("root", "above").alias("root"), (F.least("root", "above") != F.col("old")).alias("moved")))
-        labels = new.select("id", "root")
+        new, at_new = stored(step.join(above, "root").select("id", F.least("root", "above").alias("root"), (F.least("root", "above") != F.col("old")).alias("moved")))
+        discard(spark, at)
+        labels, at = new.select("id", "root"), at_new
         if not new.where("moved").limit(1).count():
+            discard(spark, at_both)
             return labels
 
 
@@ -158,7 +179,7 @@ def resolve(df: DataFrame, r: Resolution, source: str | None = None) -> DataFram
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """``column`` and its rank from 1, by range partitions: only their sizes meet on the driver."""
-    ranged = _stored(df.repartitionByRange(q(column)).sortWithinPartitions(q(column)).withColumn("_part", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(q(column)).sortWithinPartitions(q(column)).withColumn("_part", F.spark_partition_id()))
     sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = {}, 0
     for p, n in sizes:

@@ -31,7 +31,7 @@ CHECKS.update(
         "eidr": lambda cs, p, t: K.any_of([c.isNotNull() & ~eidr(c.cast("string")) for c in cs]),
         "icpn": lambda cs, p, t: K.any_of([c.isNotNull() & ~icpn(c) for c in cs]),
         "requires_when": lambda cs, p, t: K.requires_when(cs[0], p["values"], cs[1]),
-        "no_episode": lambda cs, p, t: K.sure(F.lower(cs[0]).isin(p["values"])) & (cs[1].isNotNull() | cs[2].isNotNull()),
+        "no_episode": lambda cs, p, t: K.sure(F.lower(cs[0]).isin(*p["values"])) & (cs[1].isNotNull() | cs[2].isNotNull()),
         "count_when": lambda cs, p, t: K.sure((F.lower(cs[0]) == p["value"]) & ~K.number(cs[1]).between(p["min"], p["max"])),
         "age_range": lambda cs, p, t: K.sure(~(F.datediff(t, K.day(cs[0])) / 365.25).between(0, p["max"])),
         "duration_when": lambda cs, p, t: K.sure((F.lower(cs[0]) == p["value"]) & (F.datediff(K.day(cs[2]), K.day(cs[1])) >= p["days"])),

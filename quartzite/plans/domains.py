@@ -62,9 +62,9 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "year_between": lambda cs, p, t: K.sure(cs[0].isNotNull() & ~K.sure((K.number(cs[0]) % 1 == 0) & (K.number(cs[0]) >= 1900) & (K.number(cs[0]) <= F.year(t) + p.get("ahead", 1)))),
     "same_year": lambda cs, p, t: K.sure(F.year(K.day(cs[0])) != K.number(cs[1])),
     "school_window": lambda cs, p, t: K.sure((K.day(cs[0]) < F.make_date(K.number(cs[1]).cast("int") - 1, F.lit(7), F.lit(1))) | (K.day(cs[0]) > F.make_date(K.number(cs[1]).cast("int"), F.lit(6), F.lit(30)))),
-    "only_when": lambda cs, p, t: cs[0].isNotNull() & ~K.sure(F.lower(cs[1].cast("string")).isin(p["values"])),
+    "only_when": lambda cs, p, t: cs[0].isNotNull() & ~K.sure(F.lower(cs[1].cast("string")).isin(*p["values"])),
     "requires": lambda cs, p, t: K.requires(cs[0], cs[1] if len(cs) > 1 else None),
-    "bad_quality_value": lambda cs, p, t: K.sure((cs[0].isNull() | F.lower(cs[0]).isin(p["values"])) & cs[1].isNotNull()),
+    "bad_quality_value": lambda cs, p, t: K.sure((cs[0].isNull() | F.lower(cs[0]).isin(*p["values"])) & cs[1].isNotNull()),
     "map_consistency": lambda cs, p, t: K.sure(F.coalesce(*(F.when(K.number(cs[0]) == k, F.lower(cs[1]) != v) for k, v in p["map"].items()))),
     "gtin": lambda cs, p, t: K.any_of([c.isNotNull() & ~mod10_ok(c, tuple(p.get("lengths", (8, 12, 13, 14)))) for c in cs]),
 }

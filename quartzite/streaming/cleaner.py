@@ -1,19 +1,23 @@
 """Cleaning of micro-batches with running statistics: state of bounded size, merged batch by batch.
 
-Used with Structured Streaming through ``foreachBatch``: a batch id that was seen before is skipped, so replays do no harm. The state of a
-column is a count, moments (merged by Chan's formula), extremes, quantiles from a merged sketch of the batches, and the most frequent
+Used with Structured Streaming through ``foreachBatch``: a batch id that was written before is skipped, so replays do no harm. What a batch
+changes in the state counts only once its sink has returned, so a batch whose write failed is done again. Records and ids of past batches are kept
+up to a bound, their sums for good. Duplicates across batches are found by the hashes of the last ``dedup_window`` batches, a table each in
+the shared folder. The state of a column is a count, moments (merged by Chan's formula), extremes, quantiles from a merged sketch of the batches, and the most frequent
 values up to a bound.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.operators.dedup import recent_window_dedup
+from quartzite.operators.dedup import recent_window_dedup, row_hash
+from quartzite.operators.entity import discard, stored
 from quartzite.operators.quality import trust_score
 from quartzite.plans.cleaning import Choice, fill, repair
 from quartzite.plans.config import CleanOptions
@@ -22,6 +26,8 @@ from quartzite.plans.stats import aggregate, family, is_number, is_text, q
 
 GRID = tuple(i / 20 for i in range(21))
 TOP, ROLLING = 256, 20
+#: Records, and ids of written batches, that are kept.
+KEPT = 1000
 
 
 @dataclass
@@ -111,6 +117,7 @@ class StreamOptions:
     mean_z: float = 4.0
     least_trust: float | None = None
     dedup: bool = False
+    dedup_window: int = 10
 
 
 class StreamCleaner:
@@ -120,9 +127,14 @@ class StreamCleaner:
         self.options, self.stream = options or CleanOptions(drop_duplicates=False, fix_dtypes=False), stream
         self.columns: dict[str, ColumnState] = {}
         self.records: list[dict] = []
-        self.done: set[int] = set()
-        self.trust: list[tuple[int, float]] = []
-        self.seen: DataFrame | None = None
+        self.done: list[int] = []
+        self.sums = {"batches": 0, "rows": 0, "trusted_rows": 0, "trust": 0.0}
+        self.recent: list[str] = []
+        self.pending: dict | None = None
+
+    def seen(self, spark: SparkSession) -> DataFrame | None:
+        """The hashes (h) of the last batches."""
+        return spark.read.parquet(*self.recent) if self.recent else None
 
     def observe(self, df: DataFrame) -> tuple[int, dict]:
         wanted = {("", "rows"): F.count(F.lit(1))}
@@ -164,9 +176,9 @@ class StreamCleaner:
                     say("distribution", c, z)
         return out
 
-    def learn(self, df: DataFrame, got: dict, rows: int) -> None:
+    def learn(self, columns: dict[str, ColumnState], df: DataFrame, got: dict, rows: int) -> None:
         for f in df.schema:
-            s = self.columns.setdefault(f.name, ColumnState(family(f.dataType)))
+            s = columns.setdefault(f.name, ColumnState(family(f.dataType)))
             n = got[f.name, "n"]
             s.rows, s.missing = s.rows + rows, s.missing + rows - n
             s.distinct_mean = (s.distinct_mean * s.batches + got[f.name, "distinct"]) / (s.batches + 1)
@@ -179,10 +191,10 @@ class StreamCleaner:
             if (f.name, "top") in got:
                 s.merge_top({r[0]: r[1] for r in got[f.name, "top"] if r[0] is not None})
 
-    def choices(self, df: DataFrame) -> list[Choice]:
+    def choices(self, columns: dict[str, ColumnState], df: DataFrame) -> list[Choice]:
         out = []
         for f in df.schema:
-            s = self.columns[f.name]
+            s = columns[f.name]
             share = s.missing / s.rows if s.rows else 0.0
             if not share or share > self.options.missing_threshold_medium:
                 continue
@@ -194,46 +206,69 @@ class StreamCleaner:
                 out.append(Choice(f.name, "missing", "running", "categorical", "", "", value=best if s.top[best] >= 0.5 * n else "Unknown"))
         return out
 
-    def process(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, dict] | None:
-        if batch_id in self.done:
+    def process(self, batch: DataFrame, batch_id: int, commit: bool = True) -> tuple[DataFrame, dict] | None:
+        """The cleaned batch and its record. With ``commit`` off the state stays as it was until ``commit()``."""
+        if batch_id in self.done or self.done and batch_id < self.done[0] and len(self.done) == KEPT:
             return None
         report = Report()
         df = repair(batch, self.options, report)
+        hashes = None
         if self.stream.dedup:
-            df = recent_window_dedup(df, self.seen)
+            df, _ = stored(recent_window_dedup(df, self.seen(df.sparkSession)))
+            _, hashes = stored(df.select(row_hash(df.columns).alias("h")))
         rows, got = self.observe(df)
         found = self.drift(df, got, rows) if self.columns else []
-        self.learn(df, got, rows)
-        warm = len(self.done) >= self.stream.warmup
-        out = fill(df, self.choices(df), set(), self.options) if warm else df
+        columns = copy.deepcopy(self.columns)
+        self.learn(columns, df, got, rows)
+        warm = self.sums["batches"] >= self.stream.warmup
+        out = fill(df, self.choices(columns, df), set(), self.options) if warm else df
         trust = trust_score(out)["score"] if self.stream.least_trust is not None else None
-        if trust is not None:
-            self.trust = [*self.trust, (rows, trust)]
         record = {"batch_id": batch_id, "rows": rows, "drift": found, "imputed": warm, "trust": trust, "passed": trust is None or trust >= self.stream.least_trust}
-        self.records.append(record)
-        self.done.add(batch_id)
+        self.pending = {"columns": columns, "record": record, "hashes": hashes, "spark": df.sparkSession}
+        if commit:
+            self.commit()
         return out, record
 
+    def commit(self) -> None:
+        """What the last batch changed now counts."""
+        new, self.pending = self.pending, None
+        if not new:
+            return
+        record = new["record"]
+        self.columns = new["columns"]
+        self.records = [*self.records, record][-KEPT:]
+        self.done = sorted([*self.done, record["batch_id"]])[-KEPT:]
+        self.sums["batches"] += 1
+        self.sums["rows"] += record["rows"]
+        if record["trust"] is not None:
+            self.sums["trusted_rows"] += record["rows"]
+            self.sums["trust"] += record["rows"] * record["trust"]
+        if new["hashes"]:
+            self.recent.append(new["hashes"])
+            while len(self.recent) > self.stream.dedup_window:
+                discard(new["spark"], self.recent.pop(0))
+
     def as_sink(self, write):
         def sink(batch: DataFrame, batch_id: int) -> None:
-            got = self.process(batch, batch_id)
+            got = self.process(batch, batch_id, commit=False)
             if got:
                 write(got[0], batch_id)
+                self.commit()
 
         return sink
 
     def finalize(self) -> dict:
-        weighted = sum(n * t for n, t in self.trust) / sum(n for n, _ in self.trust) if any(n for n, _ in self.trust) else None
-        last = [t for _, t in self.trust[-ROLLING:]]
-        return {"batches": len(self.done), "rows": sum(r["rows"] for r in self.records), "trust": weighted, "rolling_trust": sum(last) / len(last) if last else None, "drift": [d | {"batch_id": r["batch_id"]} for r in self.records for d in r["drift"]]}
+        weighted = self.sums["trust"] / self.sums["trusted_rows"] if self.sums["trusted_rows"] else None
+        last = [r["trust"] for r in self.records if r["trust"] is not None][-ROLLING:]
+        return {"batches": self.sums["batches"], "rows": self.sums["rows"], "trust": weighted, "rolling_trust": sum(last) / len(last) if last else None, "drift": [d | {"batch_id": r["batch_id"]} for r in self.records for d in r["drift"]]}
 
     def state_json(self) -> str:
-        return json.dumps({"columns": {c: asdict(s) for c, s in self.columns.items()}, "done": sorted(self.done)}, sort_keys=True)
+        return json.dumps({"columns": {c: asdict(s) for c, s in self.columns.items()}, "done": self.done, "records": self.records, "sums": self.sums, "recent": self.recent}, sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str, options: CleanOptions | None = None, stream: StreamOptions = StreamOptions()) -> StreamCleaner:
         out, state = cls(options, stream), json.loads(text)
-        out.done = set(state["done"])
+        out.done, out.records, out.sums, out.recent = state["done"], state["records"], state["sums"], state["recent"]
         for c, s in state["columns"].items():
             out.columns[c] = ColumnState(**(s | {"moments": Moments(**s["moments"])}))
         return out
