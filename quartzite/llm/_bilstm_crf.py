@@ -135,22 +135,30 @@ class Tagger:
     def best(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tag sequence of emissions (time, tags), and the posterior of each of its tags."""
         t, k = m.shape
+        step, places = self.p["t"], np.arange(k)
         score, back = m[0] + self.p["s"], np.zeros((t, k), dtype=int)
-        alpha, beta = np.zeros_like(m), np.zeros_like(m)
-        alpha[0] = score
+        # marginals in the linear domain, scaled at every place
+        grown, e = np.exp(step - step.max()), np.exp(m - m.max(1, keepdims=True))
+        alpha, beta = np.empty_like(e), np.ones(k)
+        alpha[0] = e[0] * np.exp(self.p["s"] - self.p["s"].max())
+        into = step.T.copy()
         for i in range(1, t):
-            through = score[:, None] + self.p["t"]
-            back[i] = through.argmax(0)
-            score = through.max(0) + m[i]
-            alpha[i] = logsumexp(alpha[i - 1][:, None] + self.p["t"], 0) + m[i]
-        for i in range(t - 2, -1, -1):
-            beta[i] = logsumexp(self.p["t"] + (m[i + 1] + beta[i + 1])[None, :], 1)
+            through = into + score
+            at = back[i] = through.argmax(1)
+            score = through[places, at] + m[i]
+            one = (alpha[i - 1] @ grown) * e[i]
+            alpha[i] = one / one.sum()
         tags = np.zeros(t, dtype=int)
         tags[-1] = score.argmax()
         for i in range(t - 1, 0, -1):
             tags[i - 1] = back[i, tags[i]]
-        sure = np.exp(alpha + beta - logsumexp(alpha[-1], 0))
-        return tags, sure[np.arange(t), tags]
+        sure = np.empty(t)
+        for i in range(t - 1, -1, -1):
+            both = alpha[i] * beta
+            sure[i] = both[tags[i]] / both.sum()
+            beta = grown @ (e[i] * beta)
+            beta /= beta.sum()
+        return tags, sure
 
 
 class Emitter:
@@ -192,19 +200,25 @@ class Emitter:
 
     def outside(self, m: np.ndarray) -> np.ndarray:
         """Probability of tag 0 at each place of windows of emissions (time, windows, tags)."""
-        e = np.exp(m - m.max(2, keepdims=True))
+        e = m - m.max(2, keepdims=True)
+        np.exp(e, out=e)
         steps = len(e)
         alpha = np.empty_like(e)
         alpha[0] = e[0] * self.start
         for t in range(steps):
             if t:
-                np.multiply(alpha[t - 1] @ self.step, e[t], out=alpha[t])
-            alpha[t] /= alpha[t].sum(1, keepdims=True)
+                np.matmul(alpha[t - 1], self.step, out=alpha[t])
+                alpha[t] *= e[t]
+            if t % 4 == 0:  # often enough to stay in range
+                alpha[t] /= alpha[t].max(1, keepdims=True)
         out = np.empty(e.shape[:2], dtype=np.float32)
-        beta = np.ones_like(e[0])
+        beta, back = np.ones_like(e[0]), np.ascontiguousarray(self.step.T)
+        ones = np.ones(e.shape[2], dtype=np.float32)
         for t in range(steps - 1, -1, -1):
-            both = alpha[t] * beta
-            out[t] = both[:, 0] / both.sum(1)
-            beta = (e[t] * beta) @ self.step.T
-            beta /= beta.sum(1, keepdims=True)
+            alpha[t] *= beta
+            np.divide(alpha[t, :, 0], alpha[t] @ ones, out=out[t])
+            beta *= e[t]
+            beta = beta @ back
+            if t % 4 == 0:
+                beta /= beta.max(1, keepdims=True)
         return out

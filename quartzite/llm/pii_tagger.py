@@ -139,12 +139,14 @@ def invented(r: random.Random) -> list[tuple[str, int]]:
     return out
 
 
+_CLASS = np.arange(129, dtype=np.int64)
+_CLASS[48:58], _CLASS[65:91] = 48, 65
+
+
 def symbols(text: str) -> np.ndarray:
     """Character classes: punctuation and lower-case ASCII letters as themselves; digits, capitals and the rest one each."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.where(a < 128, a, 128)
-    out = np.where((a >= 48) & (a <= 57), 48, out)
-    return np.where((a >= 65) & (a <= 90), 65, out).astype(np.int64)
+    return _CLASS[np.minimum(a, 128)]
 
 
 def tags_of(pieces: list[tuple[str, int]]) -> np.ndarray:
@@ -196,23 +198,22 @@ def reconciled(codes: np.ndarray, network: Emitter) -> tuple[np.ndarray, np.ndar
     windows = max(1, -(-(n - OVERLAP) // stride))
     padded = np.full(windows * stride + OVERLAP, 32, dtype=np.int64)
     padded[:n] = codes
-    cut = lambda a: np.stack([a[t : t + (windows - 1) * stride + 1 : stride] for t in range(WINDOW)])
-    m = network.emissions(cut(padded))
-    # in an overlap the weight of the window before falls as that of the next one rises
-    ramp = np.ones((WINDOW, 1, 1), dtype=np.float32)
-    ramp[:OVERLAP, 0, 0] = (np.arange(OVERLAP) + 0.5) / OVERLAP
-    ramp[-OVERLAP:, 0, 0] = ramp[:OVERLAP, 0, 0][::-1]
-    whole, weight = np.zeros((len(padded), m.shape[2]), dtype=np.float32), np.zeros((len(padded), 1), dtype=np.float32)
-    for t in range(WINDOW):
-        at = slice(t, t + (windows - 1) * stride + 1, stride)
-        whole[at] += m[t] * ramp[t]
-        weight[at] += ramp[t, 0]
-    whole /= weight
-    doubt = np.zeros(len(padded), dtype=bool)
-    outside = network.outside(np.stack([whole[t : t + (windows - 1) * stride + 1 : stride] for t in range(WINDOW)]))
-    for t in range(WINDOW):
-        doubt[t : t + (windows - 1) * stride + 1 : stride] |= outside[t] < DOUBT
-    return whole[:n], doubt[:n]
+    cut = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::stride]
+    m = network.emissions(np.ascontiguousarray(cut.T))
+    # in an overlap the weight of the window before falls as that of the next one rises; both go on with the mean
+    rise = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None, None]
+    both = m[:OVERLAP, 1:] * rise + m[-OVERLAP:, :-1] * (1 - rise)
+    m[:OVERLAP, 1:] = m[-OVERLAP:, :-1] = both
+    inside = network.outside(m).T < DOUBT
+
+    def laid(x: np.ndarray) -> np.ndarray:
+        """(windows, time, ...) as one row: of each window what the next one does not begin with."""
+        return np.concatenate([x[:, :stride].reshape(-1, *x.shape[2:]), x[-1, stride:]])
+
+    doubt = laid(inside)
+    if windows > 1:
+        doubt[:-OVERLAP].reshape(windows, stride)[1:, :OVERLAP] |= inside[:-1, stride:]
+    return laid(m.transpose(1, 0, 2))[:n], doubt[:n]
 
 
 def stretches(doubt: np.ndarray) -> list[tuple[int, int]]:
@@ -224,9 +225,10 @@ def stretches(doubt: np.ndarray) -> list[tuple[int, int]]:
     return [(max(0, int(a) - AROUND), min(len(doubt), int(b) + AROUND + 1)) for a, b in zip(at[[0, *(cuts + 1)]], at[[*cuts, -1]], strict=True)]
 
 
-def tagged(codes: np.ndarray, tagger: Tagger, network: Emitter, sure: float) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the spans in a long row of symbols."""
+def tagged(codes: np.ndarray, taken: np.ndarray, tagger: Tagger, network: Emitter, sure: float) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the spans in a long row of symbols. A span as sure as that has doubtful places, and must not have ``taken`` ones."""
     emitted, doubt = reconciled(codes, network)
+    doubt &= ~taken
     out = []
     for lo, hi in stretches(doubt):
         tags, p = tagger.best(emitted[lo:hi].astype(float))
@@ -253,11 +255,15 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagge
 
     def flush() -> None:
         row, starts, at = [], [], 0
-        for *_, codes in held:
+        taken = np.zeros(sum(len(codes) + GAP for *_, codes in held), dtype=bool)
+        for i, lo, *_, codes in held:
             starts.append(at)
             row += [codes, np.full(GAP, 32, dtype=np.int64)]
+            for p, _, q in bases[i]:
+                if lo < q and p < lo + len(codes):
+                    taken[at + max(0, p - lo) : at + min(len(codes), q - lo)] = True
             at += len(codes) + GAP
-        found = tagged(np.concatenate(row), tagger, network, sure) if row else []
+        found = tagged(np.concatenate(row), taken, tagger, network, sure) if row else []
         j = 0
         for a, kind, b in found:
             while j + 1 < len(starts) and starts[j + 1] <= a:
