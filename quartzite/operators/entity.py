@@ -179,7 +179,7 @@ def resolve(df: DataFrame, r: Resolution, source: str | None = None) -> DataFram
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """``column`` and its rank from 1, by range partitions: only their sizes meet on the driver."""
-    ranged = stored(df.repartitionByRange(q(column)).sortWithinPartitions(q(column)).withColumn("_part", F.spark_partition_id()))
+    ranged, _ = stored(df.repartitionByRange(q(column)).sortWithinPartitions(q(column)).withColumn("_part", F.spark_partition_id()))
     sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = {}, 0
     for p, n in sizes:
