@@ -162,63 +162,70 @@ class Tagger:
 
 
 class Emitter:
-    """Emissions and tag marginals of many windows at a time (time first). The first layer is a table: a row for each symbol."""
+    """Emissions and tag marginals of many windows at a time: time first, then tags, then windows, so that every step works on whole rows.
+
+    The first layer is a table, a row for each symbol and gate. Gates stay doubled (1 + curve); the halves are in the cell and in the weights
+    that meet the hidden state, where they are exact.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]) -> None:
-        half = lambda x: np.ascontiguousarray(x, dtype=np.float32)
-        hidden = p["uf"].shape[0]
-        self.sides = [(half(p["e"] @ p[f"w{d}"] + p[f"c{d}"]), half(p[f"u{d}"]), half(p["o"][i * hidden : (i + 1) * hidden])) for i, d in enumerate("fb")]
-        self.bias, self.step, self.start = half(p["ob"]), half(np.exp(p["t"] - p["t"].max())), half(np.exp(p["s"] - p["s"].max()))
+        whole = lambda x: np.ascontiguousarray(x, dtype=np.float32)
+        k = p["uf"].shape[0]
+        gates = lambda x: whole(x.reshape(len(x), 4, k).transpose(1, 0, 2))
+        self.sides = [(gates(p["e"] @ p[f"w{d}"] + p[f"c{d}"]), gates(p[f"u{d}"] / 2), whole(p["o"][i * k : (i + 1) * k].T / 2)) for i, d in enumerate("fb")]
+        self.bias, self.step, self.start = whole(p["ob"])[:, None], whole(np.exp(p["t"] - p["t"].max())), whole(np.exp(p["s"] - p["s"].max()))[:, None]
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, windows, tags) of symbols (time, windows)."""
+        """(time, tags, windows) of symbols (time, windows)."""
         steps, n = x.shape
-        out = np.empty((steps, n, len(self.bias)), dtype=np.float32)
+        out = np.empty((steps, len(self.bias), n), dtype=np.float32)
         for (table, u, o), forward in zip(self.sides, (True, False), strict=True):
-            k = u.shape[0]
-            h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-            z, other = np.empty((n, 4 * k), np.float32), np.empty((n, 4 * k), np.float32)
+            k = u.shape[1]
+            h, c, size = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((n, k), np.float32)
+            z, other = np.empty((4, n, k), np.float32), np.empty((4, n, k), np.float32)
+            taken, forgotten, shown, new = z
             for t in range(steps) if forward else range(steps - 1, -1, -1):
                 np.matmul(h, u, out=z)
-                np.take(table, x[t], axis=0, out=other, mode="clip")
+                np.take(table, x[t], axis=1, out=other, mode="clip")
                 z += other
                 np.abs(z, out=other)
                 other += 1
                 z /= other
-                gates, g = z[:, : 3 * k], z[:, 3 * k :]
-                gates += 1
-                gates *= 0.5
-                c *= gates[:, k : 2 * k]
-                g *= gates[:, :k]
-                c += g
-                np.multiply(curve(c), gates[:, 2 * k :], out=h)
+                z[:3] += 1
+                c *= forgotten
+                new *= taken
+                c += new
+                c *= 0.5
+                np.abs(c, out=size)
+                size += 1
+                np.divide(c, size, out=h)
+                h *= shown
                 if forward:
-                    np.add(h @ o, self.bias, out=out[t])
+                    np.add(o @ h.T, self.bias, out=out[t])
                 else:
-                    out[t] += h @ o
+                    out[t] += o @ h.T
         return out
 
     def outside(self, m: np.ndarray) -> np.ndarray:
-        """Probability of tag 0 at each place of windows of emissions (time, windows, tags)."""
-        e = m - m.max(2, keepdims=True)
+        """Probability of tag 0 at each place of windows of emissions (time, tags, windows)."""
+        e = m - m.max(1, keepdims=True)
         np.exp(e, out=e)
-        steps = len(e)
+        steps, into = len(e), np.ascontiguousarray(self.step.T)
         alpha = np.empty_like(e)
         alpha[0] = e[0] * self.start
         for t in range(steps):
             if t:
-                np.matmul(alpha[t - 1], self.step, out=alpha[t])
+                np.matmul(into, alpha[t - 1], out=alpha[t])
                 alpha[t] *= e[t]
             if t % 4 == 0:  # often enough to stay in range
-                alpha[t] /= alpha[t].max(1, keepdims=True)
-        out = np.empty(e.shape[:2], dtype=np.float32)
-        beta, back = np.ones_like(e[0]), np.ascontiguousarray(self.step.T)
-        ones = np.ones(e.shape[2], dtype=np.float32)
+                alpha[t] /= alpha[t].max(0)
+        out = np.empty((steps, e.shape[2]), dtype=np.float32)
+        beta = np.ones_like(e[0])
         for t in range(steps - 1, -1, -1):
             alpha[t] *= beta
-            np.divide(alpha[t, :, 0], alpha[t] @ ones, out=out[t])
+            np.divide(alpha[t, 0], alpha[t].sum(0), out=out[t])
             beta *= e[t]
-            beta = beta @ back
+            beta = self.step @ beta
             if t % 4 == 0:
-                beta /= beta.max(1, keepdims=True)
+                beta /= beta.max(0)
         return out

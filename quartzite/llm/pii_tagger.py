@@ -192,28 +192,30 @@ def sound(kind: int, text: str) -> bool:
     return ("@" in low or "at" in low) and ("." in low or "dot" in low) and 6 <= len(text) <= 254
 
 
-def reconciled(codes: np.ndarray, network: Emitter) -> tuple[np.ndarray, np.ndarray]:
-    """Emissions (places, tags) of a long row of symbols from overlapping windows, and where a span may be."""
-    stride, n = WINDOW - OVERLAP, len(codes)
-    windows = max(1, -(-(n - OVERLAP) // stride))
-    padded = np.full(windows * stride + OVERLAP, 32, dtype=np.int64)
-    padded[:n] = codes
-    cut = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::stride]
-    m = network.emissions(np.ascontiguousarray(cut.T))
-    # in an overlap the weight of the window before falls as that of the next one rises; both go on with the mean
-    rise = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None, None]
-    both = m[:OVERLAP, 1:] * rise + m[-OVERLAP:, :-1] * (1 - rise)
-    m[:OVERLAP, 1:] = m[-OVERLAP:, :-1] = both
-    inside = network.outside(m).T < DOUBT
-
-    def laid(x: np.ndarray) -> np.ndarray:
-        """(windows, time, ...) as one row: of each window what the next one does not begin with."""
-        return np.concatenate([x[:, :stride].reshape(-1, *x.shape[2:]), x[-1, stride:]])
-
-    doubt = laid(inside)
-    if windows > 1:
-        doubt[:-OVERLAP].reshape(windows, stride)[1:, :OVERLAP] |= inside[:-1, stride:]
-    return laid(m.transpose(1, 0, 2))[:n], doubt[:n]
+class Reconciled:
+    """Emissions of a long row of symbols from overlapping windows, and where a span may be."""
+
+    def __init__(self, codes: np.ndarray, network: Emitter) -> None:
+        self.stride, n = WINDOW - OVERLAP, len(codes)
+        self.windows = max(1, -(-(n - OVERLAP) // self.stride))
+        padded = np.full(self.windows * self.stride + OVERLAP, 32, dtype=codes.dtype)
+        padded[:n] = codes
+        cut = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[:: self.stride]
+        self.m = m = network.emissions(np.ascontiguousarray(cut.T))
+        # in an overlap the weight of the window before falls as that of the next one rises; both go on with the mean
+        rise = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None, None]
+        m[:OVERLAP, :, 1:] = m[-OVERLAP:, :, :-1] = m[:OVERLAP, :, 1:] * rise + m[-OVERLAP:, :, :-1] * (1 - rise)
+        inside = (network.outside(m) < DOUBT).T
+        doubt = np.concatenate([inside[:, : self.stride].ravel(), inside[-1, self.stride :]])
+        if self.windows > 1:
+            doubt[:-OVERLAP].reshape(self.windows, self.stride)[1:, :OVERLAP] |= inside[:-1, self.stride :]
+        self.doubt = doubt[:n]
+
+    def emissions(self, lo: int, hi: int) -> np.ndarray:
+        """(places, tags) of a stretch, each place from the window that begins last at or before it."""
+        at = np.arange(lo, hi)
+        window = np.minimum(at // self.stride, self.windows - 1)
+        return self.m[at - window * self.stride, :, window].astype(float)
 
 
 def stretches(doubt: np.ndarray) -> list[tuple[int, int]]:
@@ -227,11 +229,11 @@ def stretches(doubt: np.ndarray) -> list[tuple[int, int]]:
 
 def tagged(codes: np.ndarray, taken: np.ndarray, tagger: Tagger, network: Emitter, sure: float) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the spans in a long row of symbols. A span as sure as that has doubtful places, and must not have ``taken`` ones."""
-    emitted, doubt = reconciled(codes, network)
-    doubt &= ~taken
+    row = Reconciled(codes, network)
+    doubt = row.doubt & ~taken
     out = []
     for lo, hi in stretches(doubt):
-        tags, p = tagger.best(emitted[lo:hi].astype(float))
+        tags, p = tagger.best(row.emissions(lo, hi))
         k = 0
         while k < len(tags):
             if tags[k] % 2 == 1:
