@@ -591,7 +591,14 @@ def sim_levenshtein(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(X.levenshtein_similarity(F.col("p_name"), F.col("p_type")), 6).alias("s"))
 
 
-@query("sim_soundex")
+SOUNDEX_SQL = """WITH s AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS w FROM part),
+c AS (SELECT p_partkey, w, translate(w, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077') AS k FROM s),
+r AS (SELECT p_partkey, w, left(k, 1) || replace(substring(k, 2), '7', '') AS k FROM c),
+u AS (SELECT p_partkey, w, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS k FROM r)
+SELECT p_partkey, CASE WHEN w = '' THEN '0000' ELSE left(w, 1) || rpad(left(replace(substring(k, 2), '0', ''), 3), 3, '0') END AS code FROM u"""
+
+
+@query("sim_soundex", SOUNDEX_SQL)
 def sim_soundex(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.soundex(F.col("p_name")).alias("code"))
 

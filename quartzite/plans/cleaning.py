@@ -22,6 +22,8 @@ from quartzite.plans.roles import role, sensitive
 from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, is_integer, is_number, is_text, is_time, orderable, q, without_nan
 
 SMALL, PROBES, INFORMATIVE = 30, 3, 0.5
+#: Text columns with no more distinct values than this share of their rows are counted by value before they are parsed.
+REPEATED = 0.1
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,8 @@ def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
         if c in text:
             wanted[c, "strip"] = F.count_if(X.strip(q(c)) != q(c)) if o.strip_whitespace else F.lit(0)
             wanted[c, "sentinel"] = F.count_if(q(c).isNotNull() & new.isNull())
+            if o.fix_dtypes:
+                wanted[c, "distinct"] = F.approx_count_distinct(new)
     got = aggregate(df, wanted)
     rows = report.rows_before = got["", "rows"]
     report.columns_before = len(df.columns)
@@ -87,7 +91,7 @@ def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
                 report.add("drop_empty_rows", None, gone, "rows without values dropped")
         fixed = full
     if o.fix_dtypes:
-        conversions = inference.suggest(fixed, o)
+        conversions = inference.suggest(fixed, o, [c for c in text if got[c, "distinct"] <= REPEATED * got[c, "n"]])
         for x in conversions:
             report.add("fix_dtypes", x.column, x.parsed + x.unparsed, f"converted to {x.target}" + (f" ({x.unparsed} unparseable set missing)" if x.unparsed else ""), risk="medium" if x.unparsed else "low")
         fixed = inference.apply(fixed, conversions)
@@ -112,7 +116,12 @@ def drop_duplicates(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame
         report.warnings.append("duplicates of a time-indexed frame are kept")
         return df
     out = deduplicate(df, o.duplicate_subset, o.duplicate_keep, o.order_by)
-    before, after = df.count(), out.count()
+    if o.duplicate_keep in ("first", "last"):
+        sizes = df.groupBy(*(q(c) for c in o.duplicate_subset or df.columns)).agg(F.count(F.lit(1)).alias("size"))
+        got = aggregate(sizes, {("", "before"): F.coalesce(F.sum("size"), F.lit(0)), ("", "after"): F.count(F.lit(1))})
+        before, after = got["", "before"], got["", "after"]
+    else:
+        before, after = df.count(), out.count()
     if before > after:
         report.add("drop_duplicates", None, before - after, f"{before - after} duplicate rows removed ({100 * (before - after) / before:.1f} %)")
         if (before - after) / before > o.duplicate_threshold:

@@ -5,6 +5,7 @@ Order: boolean, number, date and time. A column keeps its type unless the share
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,29 +27,32 @@ class Conversion:
     unparsed: int
 
 
-def candidates(c: Column, options: CleanOptions) -> dict[str, Column]:
+def candidates(c: Column, options: CleanOptions, weight: Column | None = None) -> dict[str, Column]:
+    """What the values of a column parse as; each counts once, or as often as ``weight`` says."""
+    count_if = F.count_if if weight is None else lambda x: F.coalesce(F.sum(F.when(x, weight)), F.lit(0))
+    count = F.count if weight is None else lambda x: count_if(x.isNotNull())
     plain, formatted = N.plain_number(c), N.formatted_number(c, options.decimal, options.thousands)
     dated = c.rlike(N.DATEISH)
     first = F.regexp_extract(c, r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{4}", 1).try_cast("int")
     second = F.regexp_extract(c, r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{4}", 2).try_cast("int")
     noisy = c.rlike(f"[{N.CURRENCY}{options.thousands}\\s]") if options.decimal == "." else F.lit(True)
     return {
-        "n": F.count(c),
-        "bool": F.count(N.boolean(c)),
-        "plain": F.count(plain),
-        "formatted": F.count(formatted),
-        "noisy": F.count_if(noisy),
-        "zeros": F.count_if(N.leading_zero(c)),
-        "plain_frac": F.count_if(plain % 1 != 0),
+        "n": count(c),
+        "bool": count(N.boolean(c)),
+        "plain": count(plain),
+        "formatted": count(formatted),
+        "noisy": count_if(noisy),
+        "zeros": count_if(N.leading_zero(c)),
+        "plain_frac": count_if(plain % 1 != 0),
         "plain_max": F.max(F.abs(plain)),
-        "formatted_frac": F.count_if(formatted % 1 != 0),
+        "formatted_frac": count_if(formatted % 1 != 0),
         "formatted_max": F.max(F.abs(formatted)),
-        "dateish": F.count_if(dated),
-        "day_votes": F.count_if(first.between(13, 31)),
-        "month_votes": F.count_if(second.between(13, 31)),
-        "iso": F.count(F.when(dated, N.timestamp(c, N.ISO_FORMATS))),
-        "day_first": F.count(F.when(dated, N.timestamp(c, N.ISO_FORMATS + N.DAY_FIRST))),
-        "month_first": F.count(F.when(dated, N.timestamp(c, N.ISO_FORMATS + N.MONTH_FIRST))),
+        "dateish": count_if(dated),
+        "day_votes": count_if(first.between(13, 31)),
+        "month_votes": count_if(second.between(13, 31)),
+        "iso": count(F.when(dated, N.timestamp(c, N.ISO_FORMATS))),
+        "day_first": count(F.when(dated, N.timestamp(c, N.ISO_FORMATS + N.DAY_FIRST))),
+        "month_first": count(F.when(dated, N.timestamp(c, N.ISO_FORMATS + N.MONTH_FIRST))),
     }
 
 
@@ -75,11 +79,23 @@ def decide(name: str, got: dict[str, object], options: CleanOptions) -> Conversi
     return None
 
 
-def suggest(df: DataFrame, options: CleanOptions) -> list[Conversion]:
-    """Conversions for the text columns of a frame whose text is repaired; one job."""
+def suggest(df: DataFrame, options: CleanOptions, few: Collection[str] = ()) -> list[Conversion]:
+    """Conversions for the text columns of a frame whose text is repaired; one job, and one more for the columns of ``few`` distinct
+    values, whose values are counted first and parsed once each."""
     text = [f.name for f in df.schema if is_text(f.dataType)]
-    got = aggregate(df, {(c, k): v for c in text for k, v in candidates(q(c), options).items()})
-    out = (decide(c, {k: got[c, k] for k in candidates(q(c), options)}, options) for c in text)
+    each = [c for c in text if c not in few]
+    flat = aggregate(df, {(c, k): v for c in each for k, v in candidates(q(c), options).items()})
+    got: dict[str, dict[str, object]] = {c: {} for c in text}
+    for (c, k), v in flat.items():
+        got[c][k] = v
+    counted = [c for c in text if c in few]
+    if counted:
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), q(c).alias("v")) for i, c in enumerate(counted)))).alias("x")).select("x.i", "x.v")
+        sizes = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size"))
+        wanted = candidates(F.col("v"), options, F.col("size"))
+        for row in sizes.groupBy("i").agg(*(v.alias(f"s_{k}") for k, v in wanted.items())).collect():  # a row for each column
+            got[counted[row.i]] = {k: row[f"s_{k}"] for k in wanted}
+    out = (decide(c, got[c], options) for c in text if got[c])
     return [x for x in out if x is not None]
 
 
