@@ -119,8 +119,16 @@ def drop_constant_columns(spark, sf):
 def downcast_integers(spark, sf):
     df = table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_orderkey") * 10_000_000_000).alias("wide"))
     out = cleaning.optimize_memory(df, CleanOptions(), Report())
-    rows = [out.agg(F.lit(c).alias("c"), F.lit(t).alias("t"), F.count("*").alias("n"), F.sum(c).cast("long").alias("total")) for c, t in out.dtypes]
-    return rows[0].unionByName(rows[1])
+    return totals(out)
+
+
+def totals(df: DataFrame) -> DataFrame:
+    """c, t, n, total: a row for each integer column. The sums are exact; where one is beyond 64 bits, the column of totals is a decimal."""
+    got = df.agg(F.count("*").alias("n"), *(F.sum(q(c).cast("decimal(38,0)")).alias(f"s{i}") for i, c in enumerate(df.columns))).first()
+    sums = [got[f"s{i}"] for i in range(len(df.columns))]
+    wide = any(x is not None and not -(2**63) <= x < 2**63 for x in sums)
+    rows = [(c, t, got.n, x if x is None or wide else int(x)) for (c, t), x in zip(df.dtypes, sums, strict=True)]
+    return frame(df.sparkSession, rows, f"c string, t string, n long, total {'decimal(38,0)' if wide else 'long'}")
 
 
 # --- duplicates -------------------------------------------------------------------------------------------------------------
