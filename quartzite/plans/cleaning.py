@@ -19,7 +19,7 @@ from quartzite.plans import inference
 from quartzite.plans.config import CleanOptions
 from quartzite.plans.report import Report
 from quartzite.plans.roles import role, sensitive
-from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, is_integer, is_number, is_text, is_time, orderable, q, without_nan
+from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, is_integer, is_number, is_text, is_time, orderable, piece, q, without_nan
 
 SMALL, PROBES, INFORMATIVE = 30, 3, 0.5
 #: Text columns with no more distinct values than this share of their rows are counted by value before they are parsed.
@@ -189,32 +189,54 @@ def time_order(df: DataFrame, columns: list[str], order_by: str | None) -> dict[
     """Whether the present values of a column never fall or never rise along ``order_by``; without one nothing is known to be in order."""
     if not columns or not order_by:
         return dict.fromkeys(columns, False)
-    w = Window.orderBy(q(order_by))
-    before = df.select(*(q(c) for c in columns), *(F.lag(F.col(f"`{c}`")).over(w).alias(f"_p{i}") for i, c in enumerate(columns)))
-    got = aggregate(before, {(c, k): F.coalesce(F.bool_and(op(q(c), F.col(f"_p{i}"))), F.lit(True)) for i, c in enumerate(columns) for k, op in (("up", lambda a, b: a >= b), ("down", lambda a, b: a <= b))})
-    return {c: bool(got[c, "up"] or got[c, "down"]) for c in columns}
+    # within pieces by a window, from piece to piece by their first and last rows
+    rows = df.select(q(order_by).alias("_key"), piece(df, order_by).alias("_piece"), *(q(c).alias(f"_c{i}") for i, c in enumerate(columns)))
+    w, n = Window.partitionBy("_piece").orderBy("_key"), range(len(columns))
+    inside = rows.select(*(F.col(f"_c{i}").alias(f"_a{i}") for i in n), *(F.lag(f"_c{i}").over(w).alias(f"_p{i}") for i in n))
+    ends = rows.groupBy("_piece").agg(*(F.min_by(f"_c{i}", "_key").alias(f"_a{i}") for i in n), *(F.when(F.max("_key").isNull(), F.last(f"_c{i}")).otherwise(F.max_by(f"_c{i}", "_key")).alias(f"_z{i}") for i in n))
+    between = ends.select(*(f"_a{i}" for i in n), *(F.lag(f"_z{i}").over(Window.orderBy("_piece")).alias(f"_p{i}") for i in n))
+    wanted = {(c, k): F.coalesce(F.bool_and(op(F.col(f"_a{i}"), F.col(f"_p{i}"))), F.lit(True)) for i, c in enumerate(columns) for k, op in (("up", lambda a, b: a >= b), ("down", lambda a, b: a <= b))}
+    x, y = aggregate(inside, wanted), aggregate(between, wanted)
+    return {c: any(x[c, k] and y[c, k] for k in ("up", "down")) for c in columns}
+
+
+def ordered_carry(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
+    """The frame with columns ``_piece``, and ``_before<i>`` and ``_first<i>`` of each of ``columns``: its last value in the pieces before, and its first of all."""
+    rows, n = df.withColumn("_piece", piece(df, order_by)), range(len(columns))
+    key = q(order_by)
+    some = [F.when(q(c).isNotNull(), key) for c in columns]
+    # rows without a key come first, in any order among each other
+    ends = rows.groupBy("_piece").agg(*(F.coalesce(F.min_by(q(c), some[i]), F.first(q(c), True)).alias(f"_a{i}") for i, c in enumerate(columns)), *(F.coalesce(F.max_by(q(c), some[i]), F.last(q(c), True)).alias(f"_z{i}") for i, c in enumerate(columns)))
+    w = Window.orderBy("_piece")  # a row for each piece
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = ends.select("_piece", *(F.last(f"_z{i}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{i}") for i in n), *(F.first(f"_a{i}", True).over(whole).alias(f"_first{i}") for i in n))
+    return rows.join(F.broadcast(carry), "_piece", "left")
 
 
 def fill(df: DataFrame, choices: list[Choice], marked: set[str], o: CleanOptions) -> DataFrame:
-    """All fills in one projection."""
+    """All fills in one projection; ordered ones go piece by piece."""
+    names = df.columns
+    ordered = [c.column for c in choices if c.action == "ordered_fill"]
+    if ordered:
+        df, w = ordered_carry(df, ordered, o.order_by or o.time_index), Window.partitionBy("_piece").orderBy(q(o.order_by or o.time_index)).rowsBetween(Window.unboundedPreceding, 0)
     by_name = {c.column: c for c in choices}
     out: list[Column] = []
-    for f in df.schema:
+    for f in (df.schema[c] for c in names):
         ch, c = by_name.get(f.name), q(f.name)
         if ch is None or ch.action == "preserve":
             out.append(c)
         elif ch.action == "drop_column":
             continue
         elif ch.action == "ordered_fill":
-            w = Window.orderBy(q(o.order_by or o.time_index))
-            out.append(F.coalesce(c, F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing))).alias(f.name))
+            i = ordered.index(f.name)
+            out.append(F.coalesce(c, F.last(c, True).over(w), F.col(f"_before{i}"), F.col(f"_first{i}")).alias(f.name))
         else:
             value = ch.value
             if is_integer(f.dataType) and isinstance(value, float) and not value.is_integer():
                 c = c.cast("double")
             kind = f.dataType if not isinstance(value, float) or not is_integer(f.dataType) or value.is_integer() else T.DoubleType()
             out.append(F.coalesce(c, F.lit(value).cast(kind)).alias(f.name))
-    flags = [q(c).isNull().alias(f"{c}_was_missing") for c in df.columns if c in marked and f"{c}_was_missing" not in df.columns]
+    flags = [q(c).isNull().alias(f"{c}_was_missing") for c in names if c in marked and f"{c}_was_missing" not in names]
     return df.select(*out, *flags)
 
 

@@ -1,8 +1,12 @@
 """Steps that have to hold on larger tables: sums beyond 64 bits, order over many pieces, quantiles without value maps."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from quartzite import catalog
+from quartzite.plans import cleaning, stats
+from quartzite.plans.config import CleanOptions
 
 
 def test_totals_beyond_64_bits(spark):
@@ -10,3 +14,30 @@ def test_totals_beyond_64_bits(spark):
     got = {r.c: r for r in catalog.totals(wide).collect()}
     assert got["wide"].total == 404_550 * 10**16 and got["wide"].t == "bigint" and got["a"].total == sum(i % 7 for i in range(900))
     assert dict(catalog.totals(wide.limit(10)).dtypes)["total"] == "bigint"
+
+
+def test_ordered_fill_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PIECE", 40)
+    gaps = set(range(7)) | {50, 51} | set(range(120, 260)) | {499}
+    rows = [(i, None if i in gaps else i // 3, i % 2 if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long, zig long").repartition(5)
+    o = CleanOptions(order_by="k")
+    assert cleaning.time_order(df, ["v", "zig"], "k") == {"v": True, "zig": False}
+    late = df.withColumn("v", F.expr("CASE WHEN k >= 400 THEN v - 100 ELSE v END"))
+    assert cleaning.time_order(late, ["v"], "k") == {"v": False}
+    out = cleaning.fill(df, [cleaning.Choice("v", "missing", "ordered_fill", "", "", "")], {"v"}, o)
+    assert out.columns == ["k", "v", "zig", "v_was_missing"]
+    got, last = {r.k: r.v for r in out.collect()}, next(v for _, v, _ in rows if v is not None)
+    for k, v, _ in rows:
+        last = last if v is None else v
+        assert got[k] == last
+    nulls = spark.createDataFrame([(None, 9), (3, None), (4, 1)], "k long, v long")
+    assert sorted(r.v for r in cleaning.fill(nulls, [cleaning.Choice("v", "missing", "ordered_fill", "", "", "")], set(), o).collect()) == [1, 9, 9]
+
+
+def test_ordered_fill_of_many_rows_ends(spark, sf):
+    """Rows before the first value were filled in time with the square of the rows."""
+    df = spark.range(300_000).select(F.col("id").alias("k"), F.when(F.col("id") == 299_999, 7).alias("v"))
+    began = time.time()
+    out = cleaning.fill(df, [cleaning.Choice("v", "missing", "ordered_fill", "", "", "")], set(), CleanOptions(order_by="k"))
+    assert out.where("v = 7").count() == 300_000 and time.time() - began < 60
