@@ -6,6 +6,7 @@ only aggregates; the returned frame is a plan over the input that has not run ye
 
 from __future__ import annotations
 
+from copy import deepcopy
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from quartzite.plans import inference
 from quartzite.plans.config import CleanOptions
 from quartzite.plans.report import Report
 from quartzite.plans.roles import role, sensitive
-from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, is_integer, is_number, is_text, is_time, orderable, piece, q, without_nan
+from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, held, is_integer, is_number, is_text, is_time, orderable, piece, q, without_nan
 
 SMALL, PROBES, INFORMATIVE = 30, 3, 0.5
 #: Text columns with no more distinct values than this share of their rows are counted by value before they are parsed.
@@ -282,8 +283,8 @@ def free_name(name: str, taken: list[str]) -> str:
     return out
 
 
-def decide_missing(df: DataFrame, o: CleanOptions) -> tuple[dict[str, ColumnStats], dict[str, str], list[Choice], set[str]]:
-    stats = describe(df)
+def decide_missing(df: DataFrame, o: CleanOptions, stats: dict[str, ColumnStats] | None = None) -> tuple[dict[str, ColumnStats], dict[str, str], list[Choice], set[str]]:
+    stats = stats or describe(df)
     roles = {c: role(s, o) for c, s in stats.items()}
     gaps = {c: s for c, s in stats.items() if s.missing}
     tells = informative(df, {**gaps, **{c: s for c, s in stats.items() if is_number(s.dtype)}}) if gaps else set()
@@ -297,9 +298,18 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **given) -> tuple[
     """The cleaned frame and the report of what was done to it, and why."""
     o = CleanOptions.of(options, **given)
     report = Report()
-    out = repair(df, o, report)
+    base = repair(df, o, report)
+    if o.strategy == "conservative" and not (o.impute or o.outliers or o.optimize_memory):
+        report.columns_after = len(base.columns)
+        return base, report
+    with held(base):
+        return judged(base, o, report)
+
+
+def judged(out: DataFrame, o: CleanOptions, report: Report, stats: dict[str, ColumnStats] | None = None) -> tuple[DataFrame, Report]:
+    """What follows the repair: missing values, outliers, memory. ``stats`` are those of the repaired frame, if known."""
     if o.strategy != "conservative" and (not o.impute or not o.outliers):
-        stats, roles, choices, tells = decide_missing(out, o)
+        stats, roles, choices, tells = decide_missing(out, o, stats)
         if not o.impute:
             marked = {c.column for c in choices if c.action not in ("preserve", "drop_column") and (o.missing_indicators is True or (o.missing_indicators == "auto" and c.column in tells))}
             for c in choices:
@@ -399,9 +409,10 @@ def suggest_plan(df: DataFrame, options: CleanOptions | None = None, **given) ->
     base = repair(df, o, Report())
     if o.strategy == "conservative":
         return []
-    stats, roles, choices, _ = decide_missing(base, o)
-    filled, report = fill(base, choices, set(), o), Report()
-    engine_outliers(filled, roles, o, report)
+    with held(base):
+        stats, roles, choices, _ = decide_missing(base, o)
+        filled, report = fill(base, choices, set(), o), Report()
+        engine_outliers(filled, roles, o, report)
     more = [Choice(a.column, "outliers", a.description.split(" ")[0], roles.get(a.column, "numeric"), "", a.description, a.risk, a.confidence) for a in report.actions]
     return choices + more
 
@@ -409,10 +420,14 @@ def suggest_plan(df: DataFrame, options: CleanOptions | None = None, **given) ->
 def compare(df: DataFrame, strategies: tuple[str, ...] = ("conservative", "balanced", "aggressive"), **given) -> list[dict]:
     """One row for each strategy: what it changes and what is left missing."""
     out = []
-    for s in strategies:
-        cleaned, report = clean(df, strategy=s, **given)
-        left = aggregate(cleaned, {("", "rows"): F.count(F.lit(1)), **{(c, "gone"): F.count_if(q(c).isNull()) for c in cleaned.columns}})
-        out.append({"strategy": s, "rows": left["", "rows"], "columns": len(cleaned.columns), "actions": len(report.actions), "cells_changed": sum(a.count for a in report.actions), "missing_left": sum(v for (c, _), v in left.items() if c), "warnings": len(report.warnings)})
+    options = [CleanOptions.of(None, strategy=s, **given) for s in strategies]
+    known = Report()
+    with held(repair(df, options[0], known)) as base:  # the same for all strategies, and so are its statistics
+        stats = describe(base) if any(o.strategy != "conservative" for o in options) else None
+        for s, o in zip(strategies, options, strict=True):
+            cleaned, report = judged(base, o, deepcopy(known), stats)
+            left = aggregate(cleaned, {("", "rows"): F.count(F.lit(1)), **{(c, "gone"): F.count_if(q(c).isNull()) for c in cleaned.columns}})
+            out.append({"strategy": s, "rows": left["", "rows"], "columns": len(cleaned.columns), "actions": len(report.actions), "cells_changed": sum(a.count for a in report.actions), "missing_left": sum(v for (c, _), v in left.items() if c), "warnings": len(report.warnings)})
     return out
 
 

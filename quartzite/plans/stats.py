@@ -6,14 +6,20 @@ is cut into pieces of the order column's range.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Collection, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP = 16
+#: Steps of a quantile's first histogram for each unit of log1p, steps of the later ones, and rows of a bracket that are counted by value.
+STEPS, FINER, FEW = 1024, 65_536, 65_536
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def q(name: str) -> Column:
@@ -73,6 +79,7 @@ class ColumnStats:
     q1: float | None = None
     median: float | None = None
     q3: float | None = None
+    quantiles: dict[float, float] = field(default_factory=dict)
     mode: object = None
     mode_count: int = 0
     length: float | None = None
@@ -96,8 +103,83 @@ def orderable(t: T.DataType) -> bool:
     return is_text(t) or is_number(t) or is_time(t) or isinstance(t, T.BooleanType)
 
 
-def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool = True) -> dict[str, ColumnStats]:
-    """Statistics of the named columns: one job for moments, one for each GROUP of numeric columns' quantiles, one for modes."""
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Kept on the executors while it is analysed, so that what it comes from is computed once."""
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:
+        yield df
+        return
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+@dataclass
+class Bracket:
+    """Rows of a column that hold a rank: their least and largest value, how many there are, and how many are less."""
+
+    low: float
+    high: float
+    n: int
+    below: int = 0
+
+
+def quantiles(df: DataFrame, wanted: dict[str, Collection[float]]) -> dict[str, dict[float, float]]:
+    """Exact quantiles of numeric columns as ``percentile`` has them, with the same interpolation; columns without values have none.
+
+    Every value is counted. A histogram on a logarithmic scale finds the bracket of each rank, histograms between a bracket's ends narrow it,
+    and a bracket of few rows is counted by value: two to four jobs in most cases, in which only counts are shuffled.
+    """
+    columns = [c for c, at in wanted.items() if at]
+    if not columns:
+        return {}
+    v, one = F.col("v"), F.count(F.lit(1)).alias("n")
+    odd = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    bucket = F.when(odd, F.when(v == F.lit(float("-inf")), -(2**40)).otherwise(F.when(F.isnan(v), 2**41).otherwise(2**40))).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * STEPS)).cast("long")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), q(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("x")).select("x.i", "x.v").where("v is not null")
+    got = long.groupBy("i", bucket.alias("b")).agg(one, F.min("v").alias("low"), F.max("v").alias("high"))
+    parts: dict[int, list[Bracket]] = {}
+    for i, _, n, low, high in sorted(got.collect(), key=lambda r: (r.i, r.b)):
+        parts.setdefault(i, []).append(Bracket(low, high, n))
+    totals = {i: sum(x.n for x in p) for i, p in parts.items()}
+    ends = {(i, p): (totals[i] - 1) * p for i in parts for p in wanted[columns[i]]}
+    open_: dict[tuple[int, int], Bracket] = {}
+
+    def place(i: int, ranks: Collection[int], brackets: list[Bracket], below: int) -> None:
+        left = sorted(ranks)
+        for x in brackets:
+            x.below = below
+            while left and left[0] < below + x.n:
+                open_[i, left.pop(0)] = x
+            below += x.n
+
+    for i, p in parts.items():
+        place(i, {r for (j, _), x in ends.items() if j == i for r in (math.floor(x), math.ceil(x))}, p, 0)
+    done = lambda x: x.low == x.high or x.low != x.low
+    while rest := {id(x): (i, x) for (i, _), x in open_.items() if not done(x)}:
+        todo = list(rest.values())
+        inside = [q(columns[i]).cast("double").between(x.low, x.high) for i, x in todo]
+        step = [q(columns[i]).cast("double") if x.n <= FEW else F.least(F.floor((q(columns[i]).cast("double") - F.lit(x.low)) / F.lit(x.high - x.low) * F.lit(float(FINER))), F.lit(FINER)).cast("double") for i, x in todo]
+        hits = F.filter(F.array(*(F.when(y, F.struct(F.lit(k).alias("k"), s.alias("b"), q(columns[i]).cast("double").alias("v"))) for k, ((i, _), y, s) in enumerate(zip(todo, inside, step, strict=True)))), lambda x: x.isNotNull())
+        got = df.where(reduce(or_, inside)).select(F.explode(hits).alias("x")).groupBy("x.k", "x.b").agg(one, F.min("x.v").alias("low"), F.max("x.v").alias("high"))
+        finer: dict[int, list[Bracket]] = {}
+        for k, _, n, low, high in sorted(got.collect(), key=lambda r: (r.k, r.b)):
+            finer.setdefault(k, []).append(Bracket(low, high, n))
+        for k, (i, x) in enumerate(todo):
+            place(i, [r for (j, r), y in open_.items() if y is x], finer[k], x.below)
+    out: dict[str, dict[float, float]] = {}
+    for (i, p), x in ends.items():
+        lower, higher = open_[i, math.floor(x)].low, open_[i, math.ceil(x)].low
+        out.setdefault(columns[i], {})[p] = lower if lower == higher or x == math.floor(x) else (math.ceil(x) - x) * lower + (x - math.floor(x)) * higher
+    return out
+
+
+def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool | Collection[str] = True, at: Collection[float] = QUARTILES) -> dict[str, ColumnStats]:
+    """Statistics of the named columns: one job for moments, a few for the quantiles ``at`` of all numeric columns, one for the modes of each type.
+    ``modes`` may name the columns whose modes and distinct values are counted."""
     chosen = [f for f in df.schema if columns is None or f.name in set(columns)]
     wanted: dict[tuple[str, str], Column] = {("", "rows"): F.count(F.lit(1))}
     for f in chosen:
@@ -117,16 +199,14 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool =
     got = aggregate(df, wanted)
     out = {f.name: ColumnStats(f.name, f.dataType, rows=got["", "rows"]) for f in chosen}
     numeric = [f.name for f in chosen if is_number(f.dataType)]
-    for i in range(0, len(numeric), GROUP):
-        part = aggregate(df, {(c, "q"): F.percentile(q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in numeric[i : i + GROUP]})
-        for (c, _), three in part.items():
-            if three is not None:
-                out[c].q1, out[c].median, out[c].q3 = three
+    for c, found in quantiles(df, dict.fromkeys(numeric, at)).items():
+        out[c].quantiles = found
+        out[c].q1, out[c].median, out[c].q3 = (found.get(p) for p in QUARTILES)
     for (c, stat), v in got.items():
         if c:
             setattr(out[c], stat, v)
     if modes:
-        for name, (value, count, distinct) in mode_table(df, [f for f in chosen if orderable(f.dataType)]).items():
+        for name, (value, count, distinct) in mode_table(df, [f for f in chosen if orderable(f.dataType) and (modes is True or f.name in modes)]).items():
             out[name].mode, out[name].mode_count, out[name].distinct = value, count, distinct
     return out
 

@@ -41,3 +41,33 @@ def test_ordered_fill_of_many_rows_ends(spark, sf):
     began = time.time()
     out = cleaning.fill(df, [cleaning.Choice("v", "missing", "ordered_fill", "", "", "")], set(), CleanOptions(order_by="k"))
     assert out.where("v = 7").count() == 300_000 and time.time() - began < 60
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 3)
+    monkeypatch.setattr(stats, "FINER", 8)
+    rows = [((i * 37 % 1000) / 7 - 40, i * 10**12, float(i % 3), 1e-9 * i, 1e300 if i == 5 else -1e-300 * i, None, float("inf") if i % 2 else float("-inf") if i % 4 else float("nan")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b long, c double, d double, e double, f double, g double").repartition(3)
+    at = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    want = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in df.columns)).first()
+    got = stats.quantiles(df, dict.fromkeys(df.columns, at))
+    assert "f" not in got
+    for c in got:
+        assert list(map(repr, got[c].values())) == list(map(repr, want[c])), c
+
+
+def test_no_value_maps(spark, monkeypatch):
+    """A map of all values of a column was kept in one task."""
+    monkeypatch.setattr(F, "percentile", None)
+    df = spark.range(1000).select("id", (F.col("id") / 3).alias("x"))
+    s = stats.describe(df)["x"]
+    assert (s.q1, s.median, s.q3) == (83.25, 166.5, 249.75)
+
+
+def test_comparison_repairs_once(spark, monkeypatch):
+    calls, repair = [], cleaning.repair
+    monkeypatch.setattr(cleaning, "repair", lambda *a: calls.append(1) or repair(*a))
+    df = spark.range(60).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id * 1.5D END AS price")
+    got = cleaning.compare(df.union(df.limit(5)))
+    assert [(r["strategy"], r["rows"], r["missing_left"]) for r in got] == [("conservative", 60, 12), ("balanced", 60, 0), ("aggressive", 60, 0)] and len(calls) == 1
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
