@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quartzite.plans.stats import is_number, q, with_row_id
 
+#: Rows of fewer columns are not worth a hash.
+WIDE = 4
+
 
 def checked_subset(df: DataFrame, subset) -> list[str]:
     missing = [c for c in subset if c not in df.columns]
@@ -37,8 +40,18 @@ def deduplicate(df: DataFrame, subset=None, keep: str = "first", order_by: str |
     return rows.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n = 1").select(*(q(c) for c in df.columns))
 
 
+def may_repeat(df: DataFrame, columns: list[str]) -> bool:
+    """False if no two rows agree on ``columns``, by a hash of each row: equal rows have equal hashes, and only those are shuffled."""
+    if len(columns) < WIDE or "collate" in df.schema.simpleString():
+        return True
+    hashes = df.groupBy(row_hash(columns).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    return (hashes.agg(F.max("_n")).first()[0] or 0) > 1
+
+
 def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first of each group of equal rows, NULLs equal."""
+    if not may_repeat(df, df.columns):
+        return 0
     groups = df.groupBy(*(q(c) for c in df.columns)).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
 
