@@ -7,19 +7,21 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import numbers as N
 from quartzite.functions import text as X
 from quartzite.operators.dedup import duplicate_rows
 from quartzite.plans.config import CleanOptions
-from quartzite.plans.inference import candidates, decide
+from quartzite.plans.inference import REPEATED, suggest
 from quartzite.plans.roles import role, sensitive
 from quartzite.plans.stats import aggregate, describe, family, is_number, is_text, is_time, orderable, q, without_nan
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 TOP, EPS = 50, 1e-6
+#: Numeric columns whose distributions are compared in one job.
+TOGETHER = 8
 
 
 # --- profiles --------------------------------------------------------------------------------------------------------------
@@ -29,12 +31,12 @@ def profile(df: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """A row for each column: dtype, rows, missing, distinct, role, suggested type, issues."""
     o = options or CleanOptions()
     df = without_nan(df)
-    stats = describe(df)
-    text = [f.name for f in df.schema if is_text(f.dataType)]
-    parsed = aggregate(df, {(c, k): v for c in text for k, v in candidates(X.repaired(q(c)), o).items()})
+    stats = describe(df, at=())
+    few = [c for c, s in stats.items() if is_text(s.dtype) and s.distinct <= REPEATED * s.n]
+    conversions = {x.column: x for x in suggest(df, o, few, X.repaired)}
     rows = []
     for c, s in stats.items():
-        to = decide(c, {k: parsed[c, k] for k in candidates(q(c), o)}, o) if c in text else None
+        to = conversions.get(c)
         issues = [x for x, there in (("missing values", s.missing), ("constant", s.rows > 1 and s.distinct is not None and s.distinct <= 1 and not s.missing), (f"looks like {to.target}" if to else "", to)) if there]
         rows.append((c, s.dtype.simpleString(), s.rows, s.missing, round(s.ratio, 6), s.distinct, role(s, o), sensitive(c), to.target if to else None, s.skew, "; ".join(issues)))
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, rows long, missing long, missing_ratio double, distinct long, role string, sensitive boolean, suggested string, skew double, issues string")
@@ -104,14 +106,13 @@ def hashed_label(label: object) -> str:
 def baseline(df: DataFrame, name: str = "baseline", hash_labels: bool = True) -> dict:
     """Statistics of every column, in a form that is saved as JSON."""
     df = without_nan(df)
-    stats = describe(df)
+    stats = describe(df, at=QUANTILES)
     out = {"name": name, "version": 1, "rows": next((s.rows for s in stats.values()), 0), "columns": {}}
     numeric = [c for c, s in stats.items() if is_number(s.dtype)]
-    quantiles = aggregate(df, {(c, "q"): F.percentile(q(c).cast("double"), F.array(*map(F.lit, QUANTILES))) for c in numeric})
     for c, s in stats.items():
         entry = {"kind": "numeric" if c in numeric else "datetime" if is_time(s.dtype) else "categorical", "family": family(s.dtype), "missing_ratio": s.ratio, "distinct": s.distinct, "unique": bool(s.n) and s.distinct == s.n}
         if c in numeric:
-            entry |= {"mean": s.mean, "std": s.std_pop, "min": float(s.min) if s.n else None, "max": float(s.max) if s.n else None, "quantiles": list(quantiles[c, "q"] or [])}
+            entry |= {"mean": s.mean, "std": s.std_pop, "min": float(s.min) if s.n else None, "max": float(s.max) if s.n else None, "quantiles": [s.quantiles[p] for p in QUANTILES] if s.n else []}
         elif is_time(s.dtype):
             entry |= {"min": str(s.min), "max": str(s.max)}
         else:
@@ -148,40 +149,58 @@ def grid(entry: dict) -> list[tuple[float, float]]:
     return out
 
 
+def ks_counts(column: str, entry: dict) -> dict[tuple[str, str], Column]:
+    c = q(column)
+    return {(column, "n"): F.count(c), **{(column, f"le{i}"): F.count_if(c <= v) for i, (v, _) in enumerate(grid(entry))}}
+
+
+def ks_of(got: dict[tuple[str, str], int], column: str, entry: dict) -> float:
+    n = got[column, "n"]
+    return max((abs(got[column, f"le{i}"] / n - p) for i, (_, p) in enumerate(grid(entry))), default=0.0) if n else 0.0
+
+
 def ks_statistic(df: DataFrame, column: str, entry: dict) -> float:
     """Largest gap between the baseline's piecewise distribution and the current one, on the baseline's grid; one job."""
-    points = grid(entry)
-    got = aggregate(df, {("", "n"): F.count(q(column)), **{(str(i), "le"): F.count_if(q(column) <= v) for i, (v, _) in enumerate(points)}})
-    n = got["", "n"]
-    return max((abs(got[str(i), "le"] / n - p) for i, (_, p) in enumerate(points)), default=0.0) if n else 0.0
+    return ks_of(aggregate(df, ks_counts(column, entry)), column, entry)
 
 
 def psi(expected: list[float], actual: list[float]) -> float:
     return sum((max(a, EPS) - max(e, EPS)) * math.log(max(a, EPS) / max(e, EPS)) for e, a in zip(expected, actual, strict=True))
 
 
-def psi_numeric(df: DataFrame, column: str, entry: dict) -> float:
-    """Population stability over the bins between the baseline's quantiles; equal edges are merged; one job."""
-    inner = [(v, p) for v, p in grid(entry)[1:-1]]
+def psi_bins(entry: dict) -> tuple[list[float], list[float]]:
+    """Edges between the baseline's quantiles, equal ones merged, and the baseline's share of each bin."""
     edges, shares, last = [], [], 0.0
-    for v, p in inner:
+    for v, p in grid(entry)[1:-1]:
         edges.append(v)
         shares.append(p - last)
         last = p
-    shares.append(1 - last)
-    c = q(column)
-    got = aggregate(df, {("", "n"): F.count(c), **{(str(i), "b"): F.count_if((c <= edges[i] if i < len(edges) else F.lit(True)) & (c > edges[i - 1] if i else F.lit(True))) for i in range(len(edges) + 1)}})
-    n = got["", "n"]
-    return psi(shares, [got[str(i), "b"] / n for i in range(len(edges) + 1)]) if n else 0.0
+    return edges, [*shares, 1 - last]
+
+
+def psi_counts(column: str, entry: dict) -> dict[tuple[str, str], Column]:
+    c, edges = q(column), psi_bins(entry)[0]
+    return {(column, "n"): F.count(c), **{(column, f"b{i}"): F.count_if((c <= edges[i] if i < len(edges) else F.lit(True)) & (c > edges[i - 1] if i else F.lit(True))) for i in range(len(edges) + 1)}}
+
+
+def psi_of(got: dict[tuple[str, str], int], column: str, entry: dict) -> float:
+    n, shares = got[column, "n"], psi_bins(entry)[1]
+    return psi(shares, [got[column, f"b{i}"] / n for i in range(len(shares))]) if n else 0.0
+
+
+def psi_numeric(df: DataFrame, column: str, entry: dict) -> float:
+    """Population stability over the bins between the baseline's quantiles; one job."""
+    return psi_of(aggregate(df, psi_counts(column, entry)), column, entry)
 
 
 def psi_categorical(df: DataFrame, column: str, entry: dict) -> float:
     """Over the baseline's most frequent values and one bucket for the rest."""
-    label = q(column).cast("string")
+    label = F.col("v")
     if entry["hashed"]:
         label = F.concat(F.lit("h:"), F.substring(F.sha1(label), 1, 16))
     keys = list(entry["top"])
-    counts = {r.k: r["count"] for r in df.where(q(column).isNotNull()).groupBy(F.when(label.isin(keys), label).alias("k")).count().collect()}  # at most TOP + 1 rows
+    values = df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("v")).count()  # labels are made once for each value
+    counts = {r.k: r["count"] for r in values.groupBy(F.when(label.isin(keys), label).alias("k")).agg(F.sum("count").alias("count")).collect()}  # at most TOP + 1 rows
     n, base = sum(counts.values()), entry["n"]
     if not n or not base:
         return 0.0
@@ -192,10 +211,10 @@ def psi_categorical(df: DataFrame, column: str, entry: dict) -> float:
 def drift(df: DataFrame, base: dict) -> list[dict]:
     """Findings (check, column, severity, value) of schema, statistics and distributions against a baseline."""
     df = without_nan(df)
-    stats = describe(df)
+    known = base["columns"]
+    stats = describe(df, modes=[c for c, e in known.items() if e["unique"]], at=())
     out: list[dict] = []
     say = lambda check, c, level, value: out.append({"check": check, "column": c, "severity": level, "value": value})
-    known = base["columns"]
     for c in known:
         if c not in stats:
             say("column_removed", c, "error", None)
@@ -207,6 +226,10 @@ def drift(df: DataFrame, base: dict) -> list[dict]:
     rows = next((s.rows for s in stats.values()), 0)
     if base["rows"] and abs(rows - base["rows"]) / base["rows"] > 0.5:
         say("row_count", None, "warning", rows)
+    same = [c for c, e in known.items() if c in stats and e["kind"] == "numeric" and e["quantiles"] and family(stats[c].dtype) == e["family"] and stats[c].n and rows >= 30]
+    got: dict[tuple[str, str], int] = {}
+    for i in range(0, len(same), TOGETHER):
+        got |= aggregate(df, {k: v for c in same[i : i + TOGETHER] for k, v in (ks_counts(c, known[c]) | psi_counts(c, known[c])).items()})
     for c, e in known.items():
         if c not in stats:
             continue
@@ -221,7 +244,7 @@ def drift(df: DataFrame, base: dict) -> list[dict]:
         if rows < 30 or not s.n:
             continue
         if e["kind"] == "numeric" and e["quantiles"]:
-            for check, value in (("ks", ks_statistic(df, c, e)), ("psi", psi_numeric(df, c, e))):
+            for check, value in (("ks", ks_of(got, c, e)), ("psi", psi_of(got, c, e))):
                 if value >= 0.10:
                     say(check, c, "error" if value >= 0.25 else "warning", round(value, 6))
         elif e["kind"] == "categorical":

@@ -5,7 +5,7 @@ Order: boolean, number, date and time. A column keeps its type unless the share
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from quartzite.plans.config import CleanOptions
 from quartzite.plans.stats import aggregate, is_text, q
 
 BIGGEST = float(2**63 - 1024)
+#: Text columns with no more distinct values than this share of their rows are counted by value before they are parsed.
+REPEATED = 0.1
 
 
 @dataclass(frozen=True)
@@ -79,12 +81,12 @@ def decide(name: str, got: dict[str, object], options: CleanOptions) -> Conversi
     return None
 
 
-def suggest(df: DataFrame, options: CleanOptions, few: Collection[str] = ()) -> list[Conversion]:
-    """Conversions for the text columns of a frame whose text is repaired; one job, and one more for the columns of ``few`` distinct
-    values, whose values are counted first and parsed once each."""
+def suggest(df: DataFrame, options: CleanOptions, few: Collection[str] = (), repaired: Callable[[Column], Column] = lambda c: c) -> list[Conversion]:
+    """Conversions for the text columns of a frame whose text is repaired, or to be repaired by ``repaired``; one job, and one more for
+    the columns of ``few`` distinct values, whose values are counted first and parsed once each."""
     text = [f.name for f in df.schema if is_text(f.dataType)]
     each = [c for c in text if c not in few]
-    flat = aggregate(df, {(c, k): v for c in each for k, v in candidates(q(c), options).items()})
+    flat = aggregate(df, {(c, k): v for c in each for k, v in candidates(repaired(q(c)), options).items()})
     got: dict[str, dict[str, object]] = {c: {} for c in text}
     for (c, k), v in flat.items():
         got[c][k] = v
@@ -92,7 +94,7 @@ def suggest(df: DataFrame, options: CleanOptions, few: Collection[str] = ()) ->
     if counted:
         long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), q(c).alias("v")) for i, c in enumerate(counted)))).alias("x")).select("x.i", "x.v")
         sizes = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size"))
-        wanted = candidates(F.col("v"), options, F.col("size"))
+        wanted = candidates(repaired(F.col("v")), options, F.col("size"))
         for row in sizes.groupBy("i").agg(*(v.alias(f"s_{k}") for k, v in wanted.items())).collect():  # a row for each column
             got[counted[row.i]] = {k: row[f"s_{k}"] for k in wanted}
     out = (decide(c, got[c], options) for c in text if got[c])

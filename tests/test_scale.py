@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from quartzite import catalog
+from quartzite.operators import quality
+from quartzite.operators.dedup import duplicate_rows, may_repeat
 from quartzite.plans import cleaning, stats
 from quartzite.plans.config import CleanOptions
 
@@ -71,3 +73,36 @@ def test_comparison_repairs_once(spark, monkeypatch):
     got = cleaning.compare(df.union(df.limit(5)))
     assert [(r["strategy"], r["rows"], r["missing_left"]) for r in got] == [("conservative", 60, 12), ("balanced", 60, 0), ("aggressive", 60, 0)] and len(calls) == 1
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_drift_jobs_do_not_grow_with_numeric_columns(spark):
+    few = spark.range(200).select("id", (F.col("id") * 0.5).alias("x"))
+    wide = few.select("*", *((F.col("x") + i).alias(f"x{i}") for i in range(5)))
+    (a, n), (b, m) = (jobs(spark, f"drift{len(df.columns)}", lambda df=df, base=quality.baseline(df): quality.drift(df.withColumn("x", F.col("x") + 90), base)) for df in (few, wide))
+    assert n == m and a == b and {f["check"] for f in a} == {"ks", "psi"}
+
+
+def test_profile_counts_repeated_values_before_parsing(spark, monkeypatch):
+    given = []
+    real = quality.suggest
+    monkeypatch.setattr(quality, "suggest", lambda df, o, few, *a: given.append(list(few)) or real(df, o, few, *a))
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 3 = 0 THEN ' N/A' WHEN id % 3 = 1 THEN ' 1.5 ' ELSE '2' END AS t", "CAST(id AS STRING) AS u", "CAST(NULL AS STRING) AS gone")
+    got = {r.column: (r.suggested, r.distinct) for r in quality.profile(df).collect()}
+    assert got == {"id": (None, 100), "t": ("double", 3), "u": ("bigint", 100), "gone": (None, 0)} and given == [["t", "gone"]]
+
+
+def test_tables_without_duplicates_are_not_shuffled_whole(spark):
+    df = spark.range(50).selectExpr("id", "id % 5 AS a", "CAST(NULL AS INT) AS b", "CAST(id AS STRING) AS c", "1.0D AS d")
+    out, report = cleaning.clean(df, strategy="conservative", fix_dtypes=False, drop_empty_columns=False)
+    assert "Aggregate" not in out._jdf.queryExecution().toString() and out.count() == 50
+    twice = df.union(df.where("id < 7"))
+    out, report = cleaning.clean(twice, strategy="conservative", fix_dtypes=False, drop_empty_columns=False)
+    assert out.count() == 50 and [a.count for a in report.actions if a.step == "drop_duplicates"] == [7]
+    assert duplicate_rows(df) == 0 and duplicate_rows(twice) == 7 and not may_repeat(df, df.columns) and may_repeat(twice, df.columns)
