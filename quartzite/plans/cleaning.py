@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quartzite.functions import numbers as N
 from quartzite.functions import text as X
-from quartzite.operators.dedup import deduplicate
+from quartzite.operators.dedup import deduplicate, may_repeat
 from quartzite.plans import inference
 from quartzite.plans.config import CleanOptions
 from quartzite.plans.report import Report
@@ -23,8 +23,6 @@ from quartzite.plans.roles import role, sensitive
 from quartzite.plans.stats import ColumnStats, aggregate, correlations, describe, held, is_integer, is_number, is_text, is_time, orderable, piece, q, without_nan
 
 SMALL, PROBES, INFORMATIVE = 30, 3, 0.5
-#: Text columns with no more distinct values than this share of their rows are counted by value before they are parsed.
-REPEATED = 0.1
 
 
 @dataclass(frozen=True)
@@ -92,7 +90,7 @@ def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
                 report.add("drop_empty_rows", None, gone, "rows without values dropped")
         fixed = full
     if o.fix_dtypes:
-        conversions = inference.suggest(fixed, o, [c for c in text if got[c, "distinct"] <= REPEATED * got[c, "n"]])
+        conversions = inference.suggest(fixed, o, [c for c in text if got[c, "distinct"] <= inference.REPEATED * got[c, "n"]])
         for x in conversions:
             report.add("fix_dtypes", x.column, x.parsed + x.unparsed, f"converted to {x.target}" + (f" ({x.unparsed} unparseable set missing)" if x.unparsed else ""), risk="medium" if x.unparsed else "low")
         fixed = inference.apply(fixed, conversions)
@@ -118,11 +116,15 @@ def drop_duplicates(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame
         return df
     out = deduplicate(df, o.duplicate_subset, o.duplicate_keep, o.order_by)
     if o.duplicate_keep in ("first", "last"):
+        if not may_repeat(df, list(o.duplicate_subset or df.columns)):
+            return df
         sizes = df.groupBy(*(q(c) for c in o.duplicate_subset or df.columns)).agg(F.count(F.lit(1)).alias("size"))
         got = aggregate(sizes, {("", "before"): F.coalesce(F.sum("size"), F.lit(0)), ("", "after"): F.count(F.lit(1))})
         before, after = got["", "before"], got["", "after"]
     else:
         before, after = df.count(), out.count()
+    if before == after and o.duplicate_keep in ("first", "last"):
+        return df
     if before > after:
         report.add("drop_duplicates", None, before - after, f"{before - after} duplicate rows removed ({100 * (before - after) / before:.1f} %)")
         if (before - after) / before > o.duplicate_threshold:
