@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as str.strip has it. Java's \s is ASCII only and trim() knows the space alone.
 SPACE = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+#: Its characters.
+SPACES = [chr(x) for x in range(0x3001) if re.fullmatch(SPACE, chr(x))]
 
 # Cell values that mean "missing", compared trimmed and lower-cased.
 SENTINELS = (
@@ -41,7 +43,9 @@ def clean_names(names: Iterable[object]) -> list[str]:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    """The pattern is run only on texts that have white space at an end."""
+    edge = F.substring(c, 1, 1).isin(*SPACES) | F.substring(c, -1, 1).isin(*SPACES)
+    return F.when(edge, F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")).otherwise(c)
 
 
 def is_sentinel(c: Column, extra: Iterable[str] = ()) -> Column:

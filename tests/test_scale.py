@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from quartzite import catalog
+from quartzite.functions import text as X
 from quartzite.operators import quality
 from quartzite.operators.dedup import duplicate_rows, may_repeat
 from quartzite.plans import cleaning, stats
@@ -106,3 +107,10 @@ def test_tables_without_duplicates_are_not_shuffled_whole(spark):
     out, report = cleaning.clean(twice, strategy="conservative", fix_dtypes=False, drop_empty_columns=False)
     assert out.count() == 50 and [a.count for a in report.actions if a.step == "drop_duplicates"] == [7]
     assert duplicate_rows(df) == 0 and duplicate_rows(twice) == 7 and not may_repeat(df, df.columns) and may_repeat(twice, df.columns)
+
+
+def test_strip_runs_its_pattern_only_at_need(spark):
+    texts = ["", " ", "a", " a", "a\u3000", "\u00a0\n a b \t", "a b", "\u200b", "\x1c\x85x\u2028", None, "\ufeff a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.strip(F.col("t"))).collect()] == [None if t is None else t.strip() for t in texts]
+    assert len(X.SPACES) == 29 and "CASE WHEN" in str(X.strip(F.col("t")))
