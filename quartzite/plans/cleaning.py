@@ -286,7 +286,8 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def decide_missing(df: DataFrame, o: CleanOptions, stats: dict[str, ColumnStats] | None = None) -> tuple[dict[str, ColumnStats], dict[str, str], list[Choice], set[str]]:
-    stats = stats or describe(df)
+    # of other columns neither the role nor the fill asks for modes and distinct values
+    stats = stats or describe(df, modes=[f.name for f in df.schema if is_text(f.dataType) or is_integer(f.dataType) or isinstance(f.dataType, T.BooleanType)])
     roles = {c: role(s, o) for c, s in stats.items()}
     gaps = {c: s for c, s in stats.items() if s.missing}
     tells = informative(df, {**gaps, **{c: s for c, s in stats.items() if is_number(s.dtype)}}) if gaps else set()
@@ -312,13 +313,15 @@ def judged(out: DataFrame, o: CleanOptions, report: Report, stats: dict[str, Col
     """What follows the repair: missing values, outliers, memory. ``stats`` are those of the repaired frame, if known."""
     if o.strategy != "conservative" and (not o.impute or not o.outliers):
         stats, roles, choices, tells = decide_missing(out, o, stats)
+        same = stats
         if not o.impute:
             marked = {c.column for c in choices if c.action not in ("preserve", "drop_column") and (o.missing_indicators is True or (o.missing_indicators == "auto" and c.column in tells))}
             for c in choices:
                 report.add("missing_values", c.column, stats[c.column].missing, f"{c.action}" + (f" {c.value!r}" if c.value is not None else ""), rationale=c.rationale, risk=c.risk, confidence=c.confidence, model_id=c.action)
             out = fill(out, choices, marked, o)
+            same = unfilled(stats, choices)
         if not o.outliers:
-            out = engine_outliers(out, roles, o, report)
+            out = engine_outliers(out, roles, o, report, same)
     if o.impute:
         out = impute(out, o.impute, report=report)
     if o.outliers:
@@ -329,8 +332,18 @@ def judged(out: DataFrame, o: CleanOptions, report: Report, stats: dict[str, Col
     return out, report
 
 
-def engine_outliers(df: DataFrame, roles: dict[str, str], o: CleanOptions, report: Report) -> DataFrame:
-    numeric = {c: s for c, s in describe(df, [f.name for f in df.schema if is_number(f.dataType)], modes=False).items() if s.n >= 4}
+def unfilled(stats: dict[str, ColumnStats], choices: list[Choice]) -> dict[str, ColumnStats]:
+    """Statistics of the columns that ``fill`` leaves as they are."""
+    filled = {c.column for c in choices if c.action != "preserve"}
+    return {c: s for c, s in stats.items() if c not in filled}
+
+
+def engine_outliers(df: DataFrame, roles: dict[str, str], o: CleanOptions, report: Report, known: dict[str, ColumnStats] | None = None) -> DataFrame:
+    """``known`` holds statistics of columns of this frame that are computed already."""
+    known, names = known or {}, [f.name for f in df.schema if is_number(f.dataType)]
+    fresh = [c for c in names if c not in known]
+    stats = known | (describe(df, fresh, modes=False) if fresh else {})
+    numeric = {c: stats[c] for c in names if stats[c].n >= 4}
     bounds = fences(df, numeric, o.outlier_method, o.outlier_factor)
     hits = aggregate(df, {(c, "out"): F.count_if(N.outside(q(c), lo, hi)) for c, (lo, hi, _) in bounds.items()})
     project, flags, remove = {}, [], None
@@ -414,7 +427,7 @@ def suggest_plan(df: DataFrame, options: CleanOptions | None = None, **given) ->
     with held(base):
         stats, roles, choices, _ = decide_missing(base, o)
         filled, report = fill(base, choices, set(), o), Report()
-        engine_outliers(filled, roles, o, report)
+        engine_outliers(filled, roles, o, report, unfilled(stats, choices))
     more = [Choice(a.column, "outliers", a.description.split(" ")[0], roles.get(a.column, "numeric"), "", a.description, a.risk, a.confidence) for a in report.actions]
     return choices + more
 

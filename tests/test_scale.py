@@ -114,3 +114,20 @@ def test_strip_runs_its_pattern_only_at_need(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.strip(F.col("t"))).collect()] == [None if t is None else t.strip() for t in texts]
     assert len(X.SPACES) == 29 and "CASE WHEN" in str(X.strip(F.col("t")))
+
+
+def test_statistics_of_unfilled_columns_are_not_computed_again(spark, monkeypatch):
+    asked, counted = [], []
+    quantiles, modes = stats.quantiles, stats.mode_table
+    monkeypatch.setattr(stats, "quantiles", lambda df, wanted: asked.append(list(wanted)) or quantiles(df, wanted))
+    monkeypatch.setattr(stats, "mode_table", lambda df, columns, *a: counted.append([f.name for f in columns]) or modes(df, columns, *a))
+    df = spark.range(200).selectExpr("id", "IF(id = 7, 9000, id % 50) AS far", "CASE WHEN id % 5 > 0 THEN id * 1.5D END AS x", "CASE WHEN id % 9 > 0 THEN id % 2 = 0 END AS b", "CASE WHEN id % 9 > 0 THEN concat('t', id % 3) END AS t")
+    plan = cleaning.suggest_plan(df)
+    assert asked == [["id", "far", "x"], ["x"]] and [x for x in counted if x] == [["id", "far", "b", "t"]]
+    assert [(c.column, c.step, c.action) for c in plan] == [("x", "missing", "median"), ("b", "missing", "preserve"), ("t", "missing", "constant"), ("far", "outliers", "flag")]
+    out, report = cleaning.clean(df)
+    assert asked[2:] == [["id", "far", "x"], ["x"]] and out.where("far_outlier").count() == 1 and out.where("x is null").count() == 0
+    filled = cleaning.fill(df, [c for c in plan if c.step == "missing"], set(), CleanOptions())
+    alone, roles = cleaning.Report(), dict.fromkeys(df.columns, "numeric")
+    cleaning.engine_outliers(filled, roles, CleanOptions(), alone)
+    assert [a for a in report.actions if a.step == "outliers"] == alone.actions
