@@ -6,6 +6,7 @@ only aggregates; the returned frame is a plan over the input that has not run ye
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from copy import deepcopy
 from dataclasses import dataclass
 
@@ -47,8 +48,8 @@ def band(ratio: float, o: CleanOptions) -> str:
 # --- repair -------------------------------------------------------------------------------------------------------------
 
 
-def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
-    """Names, text, empty columns and rows, types, constant columns, duplicates."""
+def repair(df: DataFrame, o: CleanOptions, report: Report, hold: ExitStack | None = None) -> DataFrame:
+    """Names, text, empty columns and rows, types, constant columns, duplicates. ``hold`` may keep rows without duplicates for the caller."""
     df = without_nan(df)
     if o.column_names:
         names = X.clean_names(df.columns)
@@ -86,6 +87,7 @@ def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
         full = fixed.where(some)
         if all(got[c, "n"] < rows for c in fixed.columns):
             gone = rows - full.count()
+            rows -= gone
             if gone:
                 report.add("drop_empty_rows", None, gone, "rows without values dropped")
         fixed = full
@@ -103,11 +105,12 @@ def repair(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
                 fixed = fixed.drop(c)
                 report.add("drop_constant_columns", c, 1, "constant column dropped")
     if o.drop_duplicates:
-        fixed = drop_duplicates(fixed, o, report)
+        fixed = drop_duplicates(fixed, o, report, rows, hold)
     return fixed
 
 
-def drop_duplicates(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame:
+def drop_duplicates(df: DataFrame, o: CleanOptions, report: Report, rows: int, hold: ExitStack | None = None) -> DataFrame:
+    """``rows`` are those of the frame. With ``hold``, whole rows without duplicates are made once, counted, and kept if there are fewer."""
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema):
         report.add("drop_duplicates", None, 0, "skipped: a column cannot be compared")
         return df
@@ -118,9 +121,16 @@ def drop_duplicates(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame
     if o.duplicate_keep in ("first", "last"):
         if not may_repeat(df, list(o.duplicate_subset or df.columns)):
             return df
-        sizes = df.groupBy(*(q(c) for c in o.duplicate_subset or df.columns)).agg(F.count(F.lit(1)).alias("size"))
-        got = aggregate(sizes, {("", "before"): F.coalesce(F.sum("size"), F.lit(0)), ("", "after"): F.count(F.lit(1))})
-        before, after = got["", "before"], got["", "after"]
+        if hold is not None and not o.duplicate_subset:
+            with ExitStack() as own:
+                own.enter_context(held(out))
+                before, after = rows, out.count()
+                if after < before:
+                    hold.enter_context(own.pop_all())
+        else:
+            sizes = df.groupBy(*(q(c) for c in o.duplicate_subset or df.columns)).agg(F.count(F.lit(1)).alias("size"))
+            got = aggregate(sizes, {("", "before"): F.coalesce(F.sum("size"), F.lit(0)), ("", "after"): F.count(F.lit(1))})
+            before, after = got["", "before"], got["", "after"]
     else:
         before, after = df.count(), out.count()
     if before == after and o.duplicate_keep in ("first", "last"):
@@ -301,12 +311,12 @@ def clean(df: DataFrame, options: CleanOptions | None = None, **given) -> tuple[
     """The cleaned frame and the report of what was done to it, and why."""
     o = CleanOptions.of(options, **given)
     report = Report()
-    base = repair(df, o, report)
     if o.strategy == "conservative" and not (o.impute or o.outliers or o.optimize_memory):
+        base = repair(df, o, report)
         report.columns_after = len(base.columns)
         return base, report
-    with held(base):
-        return judged(base, o, report)
+    with ExitStack() as hold:
+        return judged(hold.enter_context(held(repair(df, o, report, hold))), o, report)
 
 
 def judged(out: DataFrame, o: CleanOptions, report: Report, stats: dict[str, ColumnStats] | None = None) -> tuple[DataFrame, Report]:
@@ -421,10 +431,10 @@ def optimize_memory(df: DataFrame, o: CleanOptions, report: Report) -> DataFrame
 def suggest_plan(df: DataFrame, options: CleanOptions | None = None, **given) -> list[Choice]:
     """What a clean would decide about missing values and outliers; writes nothing."""
     o = CleanOptions.of(options, **given)
-    base = repair(df, o, Report())
     if o.strategy == "conservative":
         return []
-    with held(base):
+    with ExitStack() as hold:
+        base = hold.enter_context(held(repair(df, o, Report(), hold)))
         stats, roles, choices, _ = decide_missing(base, o)
         filled, report = fill(base, choices, set(), o), Report()
         engine_outliers(filled, roles, o, report, unfilled(stats, choices))
@@ -437,7 +447,8 @@ def compare(df: DataFrame, strategies: tuple[str, ...] = ("conservative", "balan
     out = []
     options = [CleanOptions.of(None, strategy=s, **given) for s in strategies]
     known = Report()
-    with held(repair(df, options[0], known)) as base:  # the same for all strategies, and so are its statistics
+    with ExitStack() as hold:
+        base = hold.enter_context(held(repair(df, options[0], known, hold)))  # the same for all strategies, and so are its statistics
         stats = describe(base) if any(o.strategy != "conservative" for o in options) else None
         for s, o in zip(strategies, options, strict=True):
             cleaned, report = judged(base, o, deepcopy(known), stats)

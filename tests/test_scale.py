@@ -1,6 +1,7 @@
 """Steps that have to hold on larger tables: sums beyond 64 bits, order over many pieces, quantiles without value maps."""
 
 import time
+from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,18 @@ def test_statistics_of_unfilled_columns_are_not_computed_again(spark, monkeypatc
     alone, roles = cleaning.Report(), dict.fromkeys(df.columns, "numeric")
     cleaning.engine_outliers(filled, roles, CleanOptions(), alone)
     assert [a for a in report.actions if a.step == "outliers"] == alone.actions
+
+
+def test_duplicates_go_in_one_shuffle(spark):
+    """They were counted in one and removed in another."""
+    df = spark.range(60).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id * 1.5D END AS price")
+    twice, gone = df.union(df.where("id < 9")), spark.createDataFrame([(None, None)], "id long, price double")
+    for given, n in ((twice, 9), (df, 0), (twice.union(gone), 9)):
+        out, report = cleaning.clean(given)
+        assert [a.count for a in report.actions if a.step == "drop_duplicates"] == [n] * (n > 0) and out.count() == 60
+        assert ("Aggregate" in out._jdf.queryExecution().toString()) == (n > 0) and not spark.sparkContext._jsc.getPersistentRDDs()
+    with ExitStack() as hold:
+        report = cleaning.Report()
+        base = cleaning.repair(twice, CleanOptions(), report, hold)
+        assert base.storageLevel.useMemory and base.count() == 60 and report.actions[-1].count == 9
+    assert not base.storageLevel.useMemory
