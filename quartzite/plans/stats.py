@@ -177,16 +177,33 @@ def quantiles(df: DataFrame, wanted: dict[str, Collection[float]]) -> dict[str,
     return out
 
 
+def plain_text(t: T.DataType) -> bool:
+    """Text of which equal values have equal characters."""
+    return is_text(t) and "collate" not in t.simpleString()
+
+
+def words(c: Column) -> Column:
+    """Parts of a text between white space; its pattern is compiled once, that of ``split`` for every text."""
+    return F.regexp_count(F.trim(c), F.lit("\\s+")) + 1
+
+
 def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool | Collection[str] = True, at: Collection[float] = QUARTILES) -> dict[str, ColumnStats]:
-    """Statistics of the named columns: one job for moments, a few for the quantiles ``at`` of all numeric columns, one for the modes of each type.
+    """Statistics of the named columns: one job for moments, one for texts not counted by value, a few for the quantiles ``at`` of all numeric columns, one for the modes of each type.
     ``modes`` may name the columns whose modes and distinct values are counted."""
     chosen = [f for f in df.schema if columns is None or f.name in set(columns)]
+    counted = [f for f in chosen if modes and orderable(f.dataType) and (modes is True or f.name in modes)]
     wanted: dict[tuple[str, str], Column] = {("", "rows"): F.count(F.lit(1))}
+    apart: dict[tuple[str, str], Column] = {}
     for f in chosen:
         c = q(f.name)
         wanted[f.name, "n"] = F.count(c)
         if not orderable(f.dataType):
             continue
+        if is_text(f.dataType):
+            # least and largest texts would take the numbers' aggregate off its fast path
+            if not (f in counted and plain_text(f.dataType)):
+                apart |= {(f.name, "min"): F.min(c), (f.name, "max"): F.max(c), (f.name, "length"): F.avg(F.length(c)), (f.name, "spaces"): F.avg(words(c))}
+            continue
         if not isinstance(f.dataType, T.BooleanType):
             wanted |= {(f.name, "min"): F.min(c), (f.name, "max"): F.max(c)}
         if is_number(f.dataType):
@@ -194,9 +211,7 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool |
             from quartzite.functions.numbers import sample_skewness
 
             wanted |= {(f.name, "mean"): F.avg(d), (f.name, "std"): F.stddev_samp(d), (f.name, "std_pop"): F.stddev_pop(d), (f.name, "skew"): sample_skewness(d)}
-        if is_text(f.dataType):
-            wanted |= {(f.name, "length"): F.avg(F.length(c)), (f.name, "spaces"): F.avg(F.size(F.split(F.trim(c), "\\s+")))}
-    got = aggregate(df, wanted)
+    got = aggregate(df, wanted) | aggregate(df, apart)
     out = {f.name: ColumnStats(f.name, f.dataType, rows=got["", "rows"]) for f in chosen}
     numeric = [f.name for f in chosen if is_number(f.dataType)]
     for c, found in quantiles(df, dict.fromkeys(numeric, at)).items():
@@ -205,16 +220,19 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None, modes: bool |
     for (c, stat), v in got.items():
         if c:
             setattr(out[c], stat, v)
-    if modes:
-        for name, (value, count, distinct) in mode_table(df, [f for f in chosen if orderable(f.dataType) and (modes is True or f.name in modes)]).items():
-            out[name].mode, out[name].mode_count, out[name].distinct = value, count, distinct
+    texts: dict[str, tuple[int, int, str, str]] = {}
+    for name, (value, count, distinct) in mode_table(df, counted, texts).items():
+        out[name].mode, out[name].mode_count, out[name].distinct = value, count, distinct
+    for name, (length, parts, least, largest) in texts.items():
+        out[name].length, out[name].spaces, out[name].min, out[name].max = length / out[name].n, parts / out[name].n, least, largest
     return out
 
 
-def mode_table(df: DataFrame, columns: list[T.StructField]) -> dict[str, tuple[object, int, int]]:
+def mode_table(df: DataFrame, columns: list[T.StructField], texts: dict[str, tuple[int, int, str, str]] | None = None) -> dict[str, tuple[object, int, int]]:
     """Most frequent value (ties: the smallest), its count and the number of distinct values, for many columns in one job.
 
     Columns of one type are turned into (column, value) rows together, so their counts share one shuffle; counts are combined before it.
+    ``texts`` gets the characters and words of all rows of a text column, its least and its largest value, taken once for each value.
     """
     out: dict[str, tuple[object, int, int]] = {}
     by_type: dict[str, list[str]] = {}
@@ -223,9 +241,12 @@ def mode_table(df: DataFrame, columns: list[T.StructField]) -> dict[str, tuple[o
     for names in by_type.values():
         long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), q(c).alias("v")) for i, c in enumerate(names)))).alias("x")).select("x.i", "x.v").where("v is not null")
         counts = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("v"))).alias("top"), F.count(F.lit(1)).alias("distinct")).collect()  # a row for each column
+        sums = [F.sum(F.col("n") * x).alias(k) for k, x in (("length", F.length("v")), ("words", words(F.col("v"))))] + [F.min("v").alias("least"), F.max("v").alias("largest")] if texts is not None and plain_text(df.schema[names[0]].dataType) else []
+        best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col("v"))).alias("top"), F.count(F.lit(1)).alias("distinct"), *sums).collect()  # a row for each column
         for r in best:
             out[names[r.i]] = (r.top.v, -r.top.minus, r.distinct)
+            if sums:
+                texts[names[r.i]] = (r.length, r.words, r.least, r.largest)
         for c in names:
             out.setdefault(c, (None, 0, 0))
     return out

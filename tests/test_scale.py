@@ -147,3 +147,16 @@ def test_duplicates_go_in_one_shuffle(spark):
         base = cleaning.repair(twice, CleanOptions(), report, hold)
         assert base.storageLevel.useMemory and base.count() == 60 and report.actions[-1].count == 9
     assert not base.storageLevel.useMemory
+
+
+def test_lengths_and_words_are_taken_once_a_value(spark, monkeypatch):
+    asked, aggregate = [], stats.aggregate
+    monkeypatch.setattr(stats, "aggregate", lambda df, wanted: asked.append(list(wanted)) or aggregate(df, wanted))
+    texts = ["", " ", "a", " a b ", "\ta\t b\n", "a\u00a0b", None, "x  y z", "x  y z", "\n"]
+    df = spark.createDataFrame([(t, None, 1) for t in texts], "t string, gone string, n int")
+    want = df.select(F.avg(F.length("t")), F.avg(F.size(F.split(F.trim("t"), "\\s+"))), F.min("t"), F.max("t")).first()
+    s, plain = stats.describe(df), stats.describe(df, modes=["gone"])
+    for got in (s["t"], plain["t"]):
+        assert (got.length, got.spaces, got.min, got.max) == tuple(want)
+    assert (s["gone"].length, s["gone"].spaces, s["t"].distinct, plain["t"].distinct) == (None, None, 8, None)
+    assert not asked[1] and asked[3] == [("t", k) for k in ("min", "max", "length", "spaces")] and not {("t", "min"), ("t", "length")} & {*asked[0], *asked[2]}
