@@ -58,17 +58,20 @@ def repair(df: DataFrame, o: CleanOptions, report: Report, hold: ExitStack | Non
             report.add("column_names", None, changed, "renamed " + ", ".join(f"{a!r} to {b!r}" for a, b in zip(df.columns, names, strict=True) if a != b))
         df = df.toDF(*names)
     text = [f.name for f in df.schema if is_text(f.dataType)]
-    fixed = df.select(*(X.repaired(q(c), o.strip_whitespace, o.normalize_sentinels, o.extra_sentinels).alias(c) if c in text else q(c) for c in df.columns))
+    repaired = [X.repaired(q(c), o.strip_whitespace, o.normalize_sentinels, o.extra_sentinels).alias(c) if c in text else q(c) for c in df.columns]
+    fixed = df.select(*repaired)
+    # what is counted of a text is made once a row, in a projection
+    counted = df.select(*(x for i, c in enumerate(df.columns) for x in ((repaired[i].alias(f"new{i}"), (X.strip(q(c)) != q(c)).alias(f"strip{i}"), q(c).isNotNull().alias(f"was{i}")) if c in text else (q(c).alias(f"new{i}"),))))
     wanted: dict[tuple[str, str], Column] = {("", "rows"): F.count(F.lit(1))}
-    for c in df.columns:
-        new = X.repaired(q(c), o.strip_whitespace, o.normalize_sentinels, o.extra_sentinels) if c in text else q(c)
+    for i, c in enumerate(df.columns):
+        new = F.col(f"new{i}")
         wanted[c, "n"] = F.count(new)
         if c in text:
-            wanted[c, "strip"] = F.count_if(X.strip(q(c)) != q(c)) if o.strip_whitespace else F.lit(0)
-            wanted[c, "sentinel"] = F.count_if(q(c).isNotNull() & new.isNull())
+            wanted[c, "strip"] = F.count_if(F.col(f"strip{i}")) if o.strip_whitespace else F.lit(0)
+            wanted[c, "sentinel"] = F.count_if(F.col(f"was{i}") & new.isNull())
             if o.fix_dtypes:
                 wanted[c, "distinct"] = F.approx_count_distinct(new)
-    got = aggregate(df, wanted)
+    got = aggregate(counted, wanted)
     rows = report.rows_before = got["", "rows"]
     report.columns_before = len(df.columns)
     for c in text:
